@@ -25,12 +25,30 @@ def op2_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder, manifest)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"), weights=[3, 1, 2]).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_id_planes": op2_id_planes,
+        "op3_jaccard": op3_jaccard,
+        "op6_mixing": op6_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quire.llm.mixing import mix_sql
+
+    return {
+        "op6_mixing": mix_sql([3, 1, 2]),
+    }
