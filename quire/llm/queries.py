@@ -31,18 +31,33 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.langid import held_out, predict_languages, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict_languages(docs, train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mix_sources
 
     return mix_sources(_table(spark, sf_dir, "documents"), weights=[3, 1, 2]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_id_planes": op2_id_planes,
         "op3_jaccard": op3_jaccard,
+        "op4_language": op4_language,
         "op6_mixing": op6_mixing,
+        "op10_rules": op10_rules,
     }
 
 
