@@ -5,7 +5,7 @@ over all documents estimates, for each rule, how often it votes what on good and
 documents (its accuracies), and the share of good documents; a document's quality is then the
 posterior probability given its votes, and replaces a filter in which every rule must pass.
 Documents with equal votes have equal posteriors, so the estimation runs on the counts of vote
-patterns: all documents count, and the driver gets 3**9 rows at most.
+patterns: all documents count, and the driver gets 3**10 rows at most.
 
 A base rule stands beside the votes: documents with under 50 words, or with over half of their
 words in 3-word windows that repeat, fail whatever the posterior.
@@ -46,7 +46,8 @@ RULES = {
     "capitals": ("n_upper", "n_letters", 0.0, 0.1, -1, 0.3),
     "exclamation": ("n_exclaim", "n_words", 0.0, 0.02, -1, 0.2),
     "variety": ("n_distinct", "n_words", 0.4, 1.0, 0.2, 2.0),
-    "digits": ("n_digits", "n_bytes", 0.0, 0.05, -1, 0.3),
+    "marked_words": ("n_marked", "n_words", 0.0, 0.03, -1, 0.1),
+    "letters": ("n_letter_bytes", "n_word_bytes", 0.93, 1.0, 0.8, 2.0),
 }
 
 
@@ -86,6 +87,8 @@ def features(texts: list[str | None]) -> dict[str, np.ndarray]:
         code, names = pd.factorize(mix(w.hash + mix(word_doc.astype(np.uint64))))
         seen_first = np.zeros(len(names), dtype=np.int64)
         seen_first[code[::-1]] = word_doc[::-1]
+        signs = np.concatenate(([0], np.cumsum(_SYMBOL[d], dtype=np.int64)))
+        marked = signs[w.end] > signs[w.start]
         b = w.doc_start
         parts.append(
             {
@@ -99,12 +102,13 @@ def features(texts: list[str | None]) -> dict[str, np.ndarray]:
                 "n_letters": _per_doc(_ALPHA[d], b),
                 "n_exclaim": _per_doc(d == 0x21, b),
                 "n_distinct": np.bincount(seen_first, minlength=docs) if len(names) else np.zeros(docs, dtype=np.int64),
-                "n_digits": _per_doc((d >= 48) & (d < 58), b),
-                "n_bytes": np.diff(b),
+                "n_marked": _per_doc(marked, w.first),
+                "n_letter_bytes": _per_doc(_ALPHA[d] | (d >= 0x80), b),
+                "n_word_bytes": _per_doc(in_word, b),
             }
         )
     if not parts:
-        return {k: np.zeros(0, dtype=np.int64) for k in [*BASE, "n_lines", "n_upper", "n_letters", "n_exclaim", "n_distinct", "n_digits", "n_bytes"]}
+        return {k: np.zeros(0, dtype=np.int64) for k in [*BASE, "n_lines", "n_upper", "n_letters", "n_exclaim", "n_distinct", "n_marked", "n_letter_bytes", "n_word_bytes"]}
     return {k: np.concatenate([p[k] for p in parts]).astype(np.int64) for k in parts[0]}
 
 
@@ -193,7 +197,7 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     table = docs.sparkSession.createDataFrame(
         pd.DataFrame({"pattern": patterns.astype("int64"), "quality": model.posterior(patterns) if len(patterns) else np.zeros(0)}), "pattern bigint, quality double"
     )
-    out = rows.join(F.broadcast(table), "pattern")  # 3 ** 9 rows at most
+    out = rows.join(F.broadcast(table), "pattern")  # 3 ** 10 rows at most
     return out.select("doc_id", *BASE, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= least)).alias("kept"))
 
 
