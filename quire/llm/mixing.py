@@ -57,9 +57,9 @@ def source_targets(sizes: DataFrame, weights: list[int], share: Fraction, most:
     return stepped.withColumn("target", F.least(F.col("cap"), level * F.col("weight"))).select("source", "source_size", "target", "ranges")
 
 
-def mix_sources(docs: DataFrame, weights: list[int], share: Fraction = Fraction(3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: list[int], share: Fraction = Fraction(3, 2), most: int = 2, seed: str = "mix", with_tie: bool = False) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) of each document; ``taken`` counts the words
-    that the mix takes of it, repeats included, and sums to the floor of its source's target."""
+    that the mix takes of it, repeats included, and sums to the floor of its source's target. ``tie`` is the text's hash, if asked for."""
     sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/" + seed))).alias("key"), F.xxhash64("text").alias("tie"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.greatest(F.lit(1), F.ceil(F.count("*") / RANGE_DOCS)).cast("bigint").alias("ranges"))
     targets = source_targets(totals, weights, share, most)
@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: list[int], share: Fraction = Fraction(
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     extra = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("range_start") - F.col("before")))
-    return placed.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + extra).cast("bigint").alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + extra).cast("bigint").alias("taken"), *["tie"] * with_tie)
 
 
 def mix_sql(weights: list[int], share: Fraction = Fraction(3, 2), most: int = 2, seed: str = "mix", table: str = "documents") -> str:

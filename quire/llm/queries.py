@@ -44,6 +44,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), weights=[3, 1, 2]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.vectors import vector_links
+
+    return vector_links(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.rules import judge
 
@@ -57,13 +63,16 @@ def queries() -> dict:
         "op3_jaccard": op3_jaccard,
         "op4_language": op4_language,
         "op6_mixing": op6_mixing,
+        "op8_vectors": op8_vectors,
         "op10_rules": op10_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from quire.llm.mixing import mix_sql
+    from quire.llm.vectors import links_sql
 
     return {
         "op6_mixing": mix_sql([3, 1, 2]),
+        "op8_vectors": links_sql(0.98),
     }
