@@ -44,6 +44,27 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), weights=[3, 1, 2]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of ``documents``: the source is the host, source and language the path."""
+    from quire.llm.sitebayes import site_quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return site_quality(docs, labels, host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pseudolm import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs))
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.vectors import vector_links
 
@@ -63,7 +84,10 @@ def queries() -> dict:
         "op3_jaccard": op3_jaccard,
         "op4_language": op4_language,
         "op6_mixing": op6_mixing,
+        "op5_site_quality": op5_site_quality,
+        "op7_warc": op7_warc,
         "op8_vectors": op8_vectors,
+        "op9_pseudo_likelihood": op9_pseudo_likelihood,
         "op10_rules": op10_rules,
     }
 
@@ -71,8 +95,10 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from quire.llm.mixing import mix_sql
     from quire.llm.vectors import links_sql
+    from quire.llm.warc import warc_sql
 
     return {
         "op6_mixing": mix_sql([3, 1, 2]),
+        "op7_warc": warc_sql(),
         "op8_vectors": links_sql(0.98),
     }
