@@ -30,6 +30,8 @@ ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: N-grams of a text count as this many independent ones at most, so that scores don't all end at 1.
 INDEPENDENT = 60
+#: Texts whose characters are held as arrays at once.
+SLICE = 250
 _STEP = np.uint32(0x9E3779B1)
 _fold: list[np.ndarray] = []
 
@@ -83,7 +85,7 @@ def grams(texts: list[str | None]) -> Grams:
     return Grams(c, start, end, is_letter[end] - is_letter[start])
 
 
-def _text_batches(batches, rows: int = 1000):
+def _text_batches(batches, rows: int = SLICE):
     for batch in slices(batches, rows):
         yield batch, grams(batch.column("text").to_pylist())
 
@@ -171,7 +173,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, SLICE):
             langs, scores = spread.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -183,7 +185,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least_score: float = 0.5)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, SLICE):
             langs, scores = spread.value.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores.tolist(), strict=True)]))
 
