@@ -88,7 +88,8 @@ class Trainer:
         self.p = {k: v.copy() for k, v in p.items()}
         self.seen = {k: np.full(v.shape, 1e-2, dtype=np.float32) for k, v in p.items()}
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean negative log-probability."""
         p, n = self.p, np.float32(len(target))
         e = p["embed"][context].reshape(len(context), -1)
         h = np.tanh(e @ p["w"] + p["b"])
@@ -107,10 +108,12 @@ class Trainer:
         np.add.at(given, hi, dh2)
         embed = np.zeros_like(p["embed"])
         np.add.at(embed, context.reshape(-1), (da @ p["w"].T).reshape(-1, WIDTH))
-        grads = {"embed": embed, "w": e.T @ da, "b": da.sum(axis=0), "high": h.T @ dz1, "high_b": dz1.sum(axis=0), "given": given, "low": h2.T @ dz2, "low_b": dz2.sum(axis=0)}
-        for k, g in grads.items():
+        return {"embed": embed, "w": e.T @ da, "b": da.sum(axis=0), "high": h.T @ dz1, "high_b": dz1.sum(axis=0), "given": given, "low": h2.T @ dz2, "low_b": dz2.sum(axis=0)}
+
+    def step(self, context: np.ndarray, target: np.ndarray) -> None:
+        for k, g in self.gradients(context, target).items():
             self.seen[k] += g * g
-            p[k] -= np.float32(RATE) * g / np.sqrt(self.seen[k])
+            self.p[k] -= np.float32(RATE) * g / np.sqrt(self.seen[k])
 
 
 def classes_of(hashes: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray) -> np.ndarray:
