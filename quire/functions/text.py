@@ -127,7 +127,7 @@ def should_demote(d, x):
 
 def typography(d, x, target):
     """signs as the target language (a column or literal) sets them."""
-    flat = d.replace(d.replace(x, "[   ]", " "), " +([:;?!])", "$1")
+    flat = d.replace(d.replace(x, f"[{chr(0xA0)}{chr(0x202F)}{chr(0x2009)}]", " "), " +([:;?!])", "$1")
     english = d.replace(d.replace(flat, r"«\s*", "“"), r"\s*»", "”")
     other = d.replace(d.replace(flat, r"«\s+", "«"), r"\s+»", "»")
     german = d.replace(other, '„([^„“”"]*)[“”]', "«$1»")

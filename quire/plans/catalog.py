@@ -235,7 +235,7 @@ def text_f22_edges(d):
 
 @operator
 def text_f24_spaces(d):
-    x = "concat('a', {0}, 'b', {1}, 'c', coalesce(text, ''))".format(d.lit(" "), d.lit("­"))
+    x = "concat('a', {0}, 'b', {1}, 'c', coalesce(text, ''))".format(d.lit(chr(0xA0)), d.lit(chr(0xAD)))
     return f"select doc_id, replace(translate({x}, {d.lit(chr(0xA0) + chr(0x202F) + chr(0x2009) + chr(0x2011))}, '   -'), {d.lit(chr(0xAD))}, '') as plain from documents"
 
 
