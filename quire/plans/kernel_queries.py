@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import kernels as k
+from quire.operators import geometry as g, kernels as k, running as r
 from quire.plans import catalog
 
 
@@ -55,7 +55,56 @@ def prot_c16_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.protected_transform(messages, lambda texts: [t.upper() for t in texts])
 
 
-QUERIES = {f.__name__: f for f in (pages_j5_merged_headers, markers_a3_strip, flow_j8_stitch, para_a23_split, seg_a20_word_budget, stream_r3_ewma, prot_c16_transform)}
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as boxes: eight orders a page, twenty pages a document. Every third page is prose in two columns, the
+    others hold a table; a page's last order is small print low on it, every seventh page is turned."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    row, page = F.col("l_orderkey") % 8, F.floor(F.col("l_orderkey") / 8)
+    prose, col = page % 3 == 0, F.col("l_linenumber").cast("double")
+    words = F.concat(F.lit("Order of "), "l_returnflag", F.lit(" and "), "l_linestatus", F.lit(" runs on"))
+    note, turned = (row == 7) & (page % 5 == 0), page % 7 == 3
+    x0 = F.when(prose, (col - 1) % 2 * 300 + 20).otherwise(col * 80)
+    y0 = F.when(note, F.lit(700.0)).when(prose, row * 60 + F.floor(col / 2) * 14.0).otherwise(row * 16.0)
+    x1 = x0 + F.when(prose, 270).otherwise(30)
+    text = F.when(prose | note, words).when(col == 1, words).otherwise(F.col("l_quantity").cast("string"))
+    return lines.select(
+        F.floor(page / 20).alias("doc_id"), (page % 20).alias("page_index"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("frag_index"), text.alias("text"),
+        *[F.when(turned, a).otherwise(b).cast("double").alias(n) for n, a, b in (("x0", y0, x0), ("y0", 700 - x1, y0), ("x1", y0 + 9, x1), ("y1", 700 - x0, y0 + 9))],
+        F.when(note, 7.0).otherwise(10.0).alias("size"), turned.alias("rotated"),
+    )
+
+
+def geo_s6_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6, A12-A17, P19-P22, F32, F33, W2."""
+    return g.first_notes(g.analyse_layout(_fragments(spark, sf_dir)))
+
+
+def geo_c9_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout or plain extraction, told from a sample of each document's pages."""
+    probe = g.probe_pages(_fragments(spark, sf_dir))
+    return g.layout_verdict(g.analyse_layout(probe), probe.groupBy("doc_id").agg(F.countDistinct("page_index").alias("n_pages")))
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a page number and a running header after each sentence."""
+    header = lambda s, i: F.concat(s, F.lit(" "), (i + 1).cast("string"), F.lit(" THE OLD MILL ROAD"))
+    text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=\.) "), header), " ")
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("book"), text.alias("text"))
+
+
+def md_c5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 with A5, J6, J7, C3, J8 and C4."""
+    return r.clean_books(_books(spark, sf_dir))
+
+
+def md_c7_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pandas as pd
+
+    seen = F.pandas_udf(lambda s: pd.Series([list(r.preview(x)[1]) for x in s]), "array<string>")
+    return _books(spark, sf_dir).select("book", seen("text").alias("headers"))
+
+
+QUERIES = {f.__name__: f for f in (pages_j5_merged_headers, markers_a3_strip, flow_j8_stitch, para_a23_split, seg_a20_word_budget, stream_r3_ewma, prot_c16_transform, geo_s6_regions, geo_c9_verdict, md_c5_clean, md_c7_preview)}
 
 #: A running mean by its closed form over each user's ordered values.
 ORACLES = {
