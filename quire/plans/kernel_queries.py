@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import geometry as g, kernels as k, running as r
+from quire.operators import geometry as g, kernels as k, protect as p, running as r
 from quire.plans import catalog
 
 
@@ -52,7 +54,8 @@ def stream_r3_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prot_c16_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     messages = talk.select(F.concat_ws("/", "conv_id", "turn").alias("msg_id"), F.concat(F.lit("{name} <b>"), "text", F.lit("</b>")).alias("text"))
-    return k.protected_transform(messages, lambda texts: [t.upper() for t in texts])
+    shout = lambda texts, _: [re.sub(r"(<[^<>]*>)|[^<]+", lambda m: m[1] or m[0].upper(), t) for t in texts]
+    return p.protected_translate(messages, shout, "en")
 
 
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
