@@ -409,7 +409,8 @@ def jobs_e5_first_segments(d):
 
 @operator
 def jobs_e7_length_batches(d):
-    return f"select doc_id, cast({d.div('row_number() over (order by length(text), doc_id) - 1', '8')} as bigint) as batch from documents where text is not null"
+    """A request's texts by length, in batches of eight; a request is a conversation, so no window spans the table."""
+    return f"select conv_id, turn, cast({d.div('row_number() over (partition by conv_id order by length(text), turn, role, text) - 1', '8')} as bigint) as batch from conversations where text is not null"
 
 
 @operator
@@ -495,3 +496,101 @@ def stream_r3_pairs(d):
 def stream_r4_stalls(d):
     return f"""with g as (select user_id, event_id, ({d.stamp('ts')} - lag({d.stamp('ts')}) over (partition by user_id order by ts, event_id)) / 1000000.0e0 as gap from events)
 select user_id, case when gap < 60 then 'active' when gap < 900 then 'slow' else 'stalled' end as verdict, cast(count(*) as bigint) as n from g where gap is not null group by user_id, case when gap < 60 then 'active' when gap < 900 then 'slow' else 'stalled' end"""
+
+
+@operator
+def lang_f44_pair_models(d):
+    rows = "(values ('en', 'en'), ('fr', 'fr'), ('de', 'de')) as {0}(code, iso2)"
+    return f"""select doc_id, 'pair-' || a.iso2 || '-' || b.iso2 as model from (select doc_id, lang, case doc_id % 4 when 0 then 'en' when 1 then 'fr' when 2 then 'de' else 'zz' end as target from documents) x
+left join {rows.format('a')} on x.lang = a.code left join {rows.format('b')} on x.target = b.code"""
+
+
+@operator
+def ocr_f39_cost(d):
+    """Tokens at a model's rates; an unknown model has the default ones."""
+    return """select l_orderkey, l_linenumber, l_quantity * 1000 / 1000000.0e0 * coalesce(r.rate_in, 3.0e0) + l_extendedprice / 1000000.0e0 * coalesce(r.rate_out, 15.0e0) as usd
+from lineitem left join (values ('A', 1.0e0, 5.0e0), ('N', 2.0e0, 10.0e0)) as r(model, rate_in, rate_out) on l_returnflag = r.model"""
+
+
+@operator
+def ocr_s13_last_page_line(d):
+    return "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as r from events) x where r = 1"
+
+
+@operator
+def ocr_f36_restricted_page(d):
+    page = "concat('page ', coalesce(case when page_index % 3 = 0 then cast(page_index * 2 as varchar(20)) end, cast(page_index + 1 as varchar(20))))"
+    return f"select doc_id, concat('[[ ', {page}, {d.newline()}, {t.strip(d, d.replace('text', '[ ' + chr(92) + 't' + chr(92) + 'n]+', ' '))}, {d.newline()}, ']] ', {page}) as block from v_book where text is not null"
+
+
+@operator
+def gloss_s16_terms(d):
+    x = "concat(p_name, ', ', p_brand, ',,', p_type)"
+    if d.name == "spark":
+        own = f"select p_partkey, i, term from part lateral view posexplode(split({x}, '[\\n,]')) as i, term"
+    else:
+        own = f"select p_partkey, generate_subscripts(l, 1) - 1 as i, unnest(l) as term from (select p_partkey, regexp_split_to_array({x}, '[\n,]') as l from part) y"
+    return f"with e as ({own}) select p_partkey, cast(row_number() over (partition by p_partkey order by i) as bigint) as place, trim(term) as term from e where trim(term) <> ''"
+
+
+@operator
+def gloss_j16_compatible(d):
+    return """select c.c_custkey, case when g.n_nationkey is null then 'unknown' when g.n_regionkey <> c.want then 'wrong target' else 'ok' end as verdict
+from (select c_custkey, c_nationkey + c_custkey % 2 * 3 as glossary, c_nationkey % 5 as want from customer) c left join nation g on g.n_nationkey = c.glossary"""
+
+
+@operator
+def gloss_j13_first_term(d):
+    """The leftmost listed term, the longest where several start."""
+    return f"select doc_id, nullif({d.extract('lower(text)', '(the old|the|and)', 1)}, '') as term from documents where text is not null"
+
+
+@operator
+def prot_p31_stray_markup(d):
+    bare = d.replace("output_text", r"\{[a-z]+\}|</?b>", " ")
+    return f"select msg_id, {d.like(bare, '[{}<>]')} as stray from v_message"
+
+
+@operator
+def prot_u3_term_losses(d):
+    n = lambda x: d.count(x, r"\{count\}")
+    return f"select msg_id, {n('source_text')} - {n('output_text')} as lost from v_message where {n('source_text')} <> {n('output_text')}"
+
+
+@operator
+def jobs_s17_limits(d):
+    return "select conv_id, cast(count(*) as bigint) as n, count(*) <= 50 and sum(length(coalesce(text, ''))) <= 2097152 as accepted from conversations group by conv_id"
+
+
+@operator
+def jobs_k18_abandoned(d):
+    """Files of an abandoned job: names that start with its stem and a dot, and not the output."""
+    return """select j.job, f.name from (select o_orderkey as job, concat('doc', cast(o_orderkey as varchar(20))) as stem from orders where o_orderstatus = 'P') j
+join (select l_orderkey, concat('doc', cast(l_orderkey as varchar(20)), case l_linenumber when 1 then '.md' when 2 then '.state' else concat('x.', cast(l_linenumber as varchar(20))) end) as name from lineitem) f
+on f.l_orderkey = j.job and starts_with(f.name, concat(j.stem, '.')) and f.name <> concat(j.stem, '.md')""".replace("starts_with", "startswith" if d.name == "spark" else "starts_with")
+
+
+@operator
+def jobs_f45_newer(d):
+    v = "concat('v', cast(p_size as varchar(20)), '.', cast(p_partkey % 20 as varchar(20)), '.x')"
+    part = lambda i: f"coalesce(cast(nullif({d.extract(v, r'^v?([0-9]+)[.]([0-9]+)', i)}, '') as int), 0)"
+    return f"select p_partkey, {part(1)} > 25 or ({part(1)} = 25 and {part(2)} > 7) as newer from part"
+
+
+@operator
+def jobs_f46_build_date(d):
+    month, day = ("date_format(o_orderdate, 'MMMM')", "day(o_orderdate)") if d.name == "spark" else ("monthname(o_orderdate)", "day(o_orderdate)")
+    return f"""select o_orderkey, concat({month}, ' ', cast({day} as varchar(20)), case when {day} in (11, 12, 13) then 'th' when {day} % 10 = 1 then 'st' when {day} % 10 = 2 then 'nd' when {day} % 10 = 3 then 'rd' else 'th' end, ', ', cast(year(o_orderdate) as varchar(20))) as shown from orders"""
+
+
+@operator
+def md_p14_contents(d):
+    x = "concat(text, case doc_id % 4 when 0 then ' CHAPTER I one CHAPTER II two' when 1 then ' a — b — c — d' else '' end)"
+    return f"select doc_id, {d.count(x, 'CHAPTER|CHAPITRE|KAPITEL')} >= 2 or ({x} like '% — %' and {d.count(x, '—')} >= 3) as contents from documents where text is not null"
+
+
+@operator
+def md_j10_free_sections(d):
+    """Lines that start a section outside any chapter's span of its document."""
+    return """with s as (select doc_id, line_index from v_block where length(line) > 40), c as (select doc_id, line_index as a, line_index + 4 as b from v_block where line_index % 12 = 0)
+select s.doc_id, s.line_index from s where not exists (select 1 from c where c.doc_id = s.doc_id and s.line_index >= c.a and s.line_index < c.b)"""
