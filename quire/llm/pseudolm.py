@@ -5,7 +5,9 @@ tokens on each side; the sum of the conditional log-probabilities scores the doc
 
 Tokens are words: the 512 most frequent of the corpus have a class of their own, any other falls by hash into
 one of 512 classes. A class is a pair of two digits to base 32, predicted one after the other, so
-a token costs two softmaxes of 32. Word counts cover the whole corpus; training is data parallel over
+a token costs two softmaxes of 32. A word of a shared class costs log P(word | class) besides: with counts of
+the whole corpus, (count of word + 1) / (count of class + its distinct words + 1), where an unseen word has
+count 0. All words' counts are a table in the shared folder, joined to the distinct words of each document. Training is data parallel over
 all documents: in each of ``ROUNDS`` rounds every partition starts from the same weights, takes
 gradient steps on one position in ``STRIDE`` of all its documents, and the weights are averaged by token numbers.
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.textvec import blocks, mix, words
-from quire.llm.workspace import slices
+from quire.llm.workspace import slices, stored
 
 OWN, DIGITS = 512, 32
 CLASSES = DIGITS * DIGITS
@@ -166,32 +168,65 @@ def _parameters(start: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, tur
     return run
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parameters, vocabulary, classes). The driver gets 512 words and the model's weights."""
+def _class_sizes(vocabulary: np.ndarray, rank: np.ndarray):
+    """(class, n) of a batch of word counts: occurrences and distinct words of each shared class."""
+
+    def run(batches):
+        for batch in batches:
+            ids = classes_of(batch.column("word").to_numpy().view(np.uint64), vocabulary, rank)
+            n = np.bincount(ids, weights=batch.column("n").to_numpy() + 1, minlength=CLASSES).astype(np.int64)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"class": pa.array(at), "n": pa.array(n[at])})
+
+    return run
+
+
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]
+
+
+def train(docs: DataFrame) -> Model:
+    """(parameters, vocabulary, classes, class sizes, word counts). The driver gets 512 words, the classes'
+    sizes and the model's weights; the counts of all words stay a table."""
     texts = docs.select("text").where("text is not null")
-    top = texts.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(OWN).collect()
+    counts = stored(texts.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
     vocabulary = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(vocabulary)
     vocabulary, rank = vocabulary[order], order.astype(np.int64)
+    sizes = np.ones(CLASSES)  # one for the words never seen
+    for r in counts.mapInArrow(_class_sizes(vocabulary, rank), "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sizes[r["class"]] += r["n"]
     now = flatten(initial())
     for turn in range(ROUNDS):
         got = texts.mapInArrow(_parameters(now, vocabulary, rank, turn), "slot bigint, value double, weight double").groupBy("slot").agg((F.sum("value") / F.sum("weight")).alias("v")).toArrow()
         if got.num_rows:
             now = now.copy()
             now[got.column("slot").to_numpy()] = got.column("v").to_numpy()
-    return now, vocabulary, rank
+    return now, vocabulary, rank, sizes, counts
+
+
+def _distinct(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one, number) of each distinct word of each document."""
+    order = np.lexsort((hashes, doc))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, score, mean_score) of each document; score is its pseudo-log-likelihood."""
-    spread = docs.sparkSession.sparkContext.broadcast(model)  # the model's fixed size
+    *fixed, counts = model
+    spread = docs.sparkSession.sparkContext.broadcast(tuple(fixed))  # the model's fixed size
 
     def run(batches):
-        flat, vocabulary, rank = spread.value
-        p = unflatten(flat)
+        """A row of each document with its score but for its words' counts, then one of each distinct word in shared
+        classes. A document's row has its number's hash for a word, which no text needs, and weighs nothing."""
+        flat, vocabulary, rank, sizes = spread.value
+        p, log_sizes = unflatten(flat), np.log(sizes)
         for batch in slices(batches, 1000):
-            texts, counts, sums = batch.column("text").to_pylist(), [], []
-            for _, encoded in blocks(texts):
+            number, doc_id = batch.column("number"), batch.column("doc_id").cast(pa.int64())
+            for first, encoded in blocks(batch.column("text").to_pylist()):
                 w = words(encoded, lower=True)
                 ids = classes_of(w.hash, vocabulary, rank)
                 doc = np.repeat(np.arange(len(encoded)), w.counts)
@@ -199,12 +234,25 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
                 for s in range(0, len(ids), 16384):
                     at = np.arange(s, min(s + 16384, len(ids)))
                     logs[at] = log_probability(p, _around(ids, doc, at), ids[at])
+                shared = np.flatnonzero(ids >= OWN)
+                logs[shared] -= log_sizes[ids[shared]]
                 total = np.concatenate(([0.0], np.cumsum(logs)))
-                counts.append(w.counts)
-                sums.append(total[w.first[1:]] - total[w.first[:-1]])
-            n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-            score = np.concatenate(sums) if sums else np.zeros(0)
-            mean = pa.array(score / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(score), mean], names=["doc_id", "n_tokens", "score", "mean_score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, score double, mean_score double")
+                own = number.slice(first, len(encoded)).to_numpy()
+                one, n = _distinct(doc[shared], w.hash[shared])
+                one = shared[one]
+                rest = len(one)
+                yield pa.RecordBatch.from_pydict({
+                    "number": pa.array(np.concatenate((own, own[doc[one]]))),
+                    "doc_id": pa.concat_arrays([doc_id.slice(first, len(encoded)), pa.nulls(rest, pa.int64())]),
+                    "n_tokens": pa.concat_arrays([pa.array(w.counts.astype(np.int64)), pa.nulls(rest, pa.int64())]),
+                    "part": pa.concat_arrays([pa.array(total[w.first[1:]] - total[w.first[:-1]]), pa.nulls(rest, pa.float64())]),
+                    "word": pa.array(np.concatenate((mix(own), w.hash[one])).view(np.int64)),
+                    "times": pa.array(np.concatenate((np.zeros(len(encoded), dtype=np.int64), n))),
+                })
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text")
+    parts = numbered.mapInArrow(run, "number bigint, doc_id bigint, n_tokens bigint, part double, word bigint, times bigint")
+    inside = F.col("times") * F.log(F.coalesce("n", F.lit(0)) + F.lit(1.0))
+    scored = parts.join(counts, "word", "left").groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("part") + F.sum(inside)).alias("score"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", "score", mean.alias("mean_score"))

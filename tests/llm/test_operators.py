@@ -325,6 +325,26 @@ def test_pseudo_likelihood(spark, docs, empty):
     assert pseudolm.score_documents(empty, pseudolm.train(empty)).count() == 0
 
 
+def test_words_of_a_shared_class_score_by_their_own_counts(spark):
+    often, rare = [f"own{i}" for i in range(pseudolm.OWN)], [f"rare{i}" for i in range(1500)]
+    times = {w: 1 + i % 5 for i, w in enumerate(rare)}
+    corpus = [(i, " ".join(often[k : k + 64])) for i in range(12) for k in range(0, pseudolm.OWN, 64)] + [(99, " ".join(w for w in rare for _ in range(times[w])))]
+    model = pseudolm.train(spark.createDataFrame(corpus, "doc_id bigint, text string"))
+    assert model[4].count() == len(often) + len(rare)
+    asked = rare + [f"unseen{i}" for i in range(300)]
+    by_class = dict(zip(asked, pseudolm.classes_of(np.concatenate([pseudolm.words([w.encode()], lower=True).hash for w in asked]), *model[1:3]).tolist(), strict=True))
+    got = pseudolm.score_documents(spark.createDataFrame([(i, w) for i, w in enumerate(asked)], "doc_id bigint, text string"), model).toPandas()
+    score = {asked[r.doc_id]: r.score for r in got.itertuples()}
+    for c in set(by_class.values()):
+        alike = [w for w in asked if by_class[w] == c]
+        for w in alike[1:]:
+            assert math.isclose(score[w] - score[alike[0]], math.log((times.get(w, 0) + 1) / (times.get(alike[0], 0) + 1)), abs_tol=1e-6)
+        inside = [w for w in rare if by_class[w] == c]
+        assert model[3][c] == sum(times[w] + 1 for w in inside) + 1
+    twice = pseudolm.score_documents(spark.createDataFrame([(1, "rare4 own1"), (2, "rare4 own1 rare4 own1")], "doc_id bigint, text string"), model).toPandas().set_index("doc_id")
+    assert twice.n_tokens.to_dict() == {1: 2, 2: 4} and twice.score[2] < twice.score[1]
+
+
 def test_gradients_of_the_window_network():
     p = {k: v.astype(np.float64) for k, v in pseudolm.initial().items()}
     rng = np.random.default_rng(1)
