@@ -9,7 +9,8 @@ a token costs two softmaxes of 32. A word of a shared class costs log P(word | c
 the whole corpus, (count of word + 1) / (count of class + its distinct words + 1), where an unseen word has
 count 0. All words' counts are a table in the shared folder, joined to the distinct words of each document. Training is data parallel over
 all documents: in each of ``ROUNDS`` rounds every partition starts from the same weights, takes
-gradient steps on one position in ``STRIDE`` of all its documents, and the weights are averaged by token numbers.
+gradient steps on one position in ``ROUNDS`` of all its documents, and the weights are averaged by token numbers;
+no position is in two rounds and every position is in one.
 
 Nulls and edge cases: a null or wordless text has 0 tokens, score 0 and a null mean; a null doc_id is
 kept as null; repeated rows score alike; an empty table gives an empty result; other columns
@@ -30,7 +31,7 @@ CLASSES = DIGITS * DIGITS
 NONE = CLASSES  # stands beyond either end of a document
 WIDTH, HIDDEN = 12, 32
 REACH = (-2, -1, 1, 2)
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 2048, 0.08
+ROUNDS, BATCH, RATE = 2, 2048, 0.08
 SHAPES = {"embed": (CLASSES + 1, WIDTH), "w": (len(REACH) * WIDTH, HIDDEN), "b": (HIDDEN,), "high": (HIDDEN, DIGITS), "high_b": (DIGITS,), "given": (DIGITS, HIDDEN), "low": (HIDDEN, DIGITS), "low_b": (DIGITS,)}
 
 
@@ -60,6 +61,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def _summed(row: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """An array like ``like``: the sum of the values of each row."""
+    at = row[:, None] * like.shape[1] + np.arange(like.shape[1])
+    return np.bincount(at.reshape(-1), weights=values.reshape(-1), minlength=like.size).reshape(like.shape).astype(like.dtype)
+
+
 def _around(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Classes around each position; beyond its document there is none."""
     out = np.full((len(at), len(REACH)), NONE, dtype=np.int64)
@@ -106,10 +113,8 @@ class Trainer:
         dz2 /= n
         dh2 = dz2 @ p["low"].T
         da = (dz1 @ p["high"].T + dh2) * (1 - h * h)
-        given = np.zeros_like(p["given"])
-        np.add.at(given, hi, dh2)
-        embed = np.zeros_like(p["embed"])
-        np.add.at(embed, context.reshape(-1), (da @ p["w"].T).reshape(-1, WIDTH))
+        given = _summed(hi, dh2, p["given"])
+        embed = _summed(context.reshape(-1), (da @ p["w"].T).reshape(-1, WIDTH), p["embed"])
         return {"embed": embed, "w": e.T @ da, "b": da.sum(axis=0), "high": h.T @ dz1, "high_b": dz1.sum(axis=0), "given": given, "low": h2.T @ dz2, "low_b": dz2.sum(axis=0)}
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
@@ -147,7 +152,7 @@ def _parameters(start: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, tur
                 ids = classes_of(w.hash, vocabulary, rank)
                 doc = np.repeat(np.arange(len(encoded)), w.counts)
                 within = np.arange(len(ids)) - w.first[:-1][doc]
-                at = np.flatnonzero((within + w.counts[doc]) % STRIDE == turn)
+                at = np.flatnonzero((within + w.counts[doc]) % ROUNDS == turn)
                 if len(at):
                     at = at[np.argsort(mix(at.astype(np.uint64)))]
                     held.append((_around(ids, doc, at), ids[at]))

@@ -12,6 +12,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -345,6 +346,20 @@ def test_words_of_a_shared_class_score_by_their_own_counts(spark):
     assert twice.n_tokens.to_dict() == {1: 2, 2: 4} and twice.score[2] < twice.score[1]
 
 
+def test_every_position_is_trained_on_once(monkeypatch):
+    """Also those of documents of one to four words."""
+    seen = []
+    monkeypatch.setattr(pseudolm.Trainer, "step", lambda self, context, target: seen.extend(target.tolist()))
+    texts = [" ".join(f"d{n}w{i}" for i in range(n)) for n in (1, 2, 3, 4, 5, 17, 3000)]
+    hashes = np.unique(np.concatenate([pseudolm.words([x.encode()], lower=True).hash for x in texts]))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    weight = 0
+    for turn in range(pseudolm.ROUNDS):
+        weight += sum(b.column("weight")[0].as_py() for b in pseudolm._parameters(pseudolm.flatten(pseudolm.initial()), hashes, np.arange(len(hashes)), turn)([batch]))
+    assert weight == len(hashes) == sum(len(x.split()) for x in texts)
+    assert sorted(seen) == list(range(len(hashes)))
+
+
 def test_gradients_of_the_window_network():
     p = {k: v.astype(np.float64) for k, v in pseudolm.initial().items()}
     rng = np.random.default_rng(1)
