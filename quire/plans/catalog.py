@@ -290,7 +290,7 @@ near as (select f.page, f.frag, f.sub, c.grp, row_number() over (partition by f.
 select page, frag, sub, cast(grp as bigint) as grp from near where r = 1"""
 
 
-_SPANS = """reach as (select page, x0, x1, max(x1) over (partition by page order by x0, x1 rows between unbounded preceding and 1 preceding) as before from v_fragment where sub in (1, 3, 6)),
+_SPANS = """reach as (select page, x0, x1, max(x1) over (partition by page order by x0, x1 rows between unbounded preceding and 1 preceding) as before from v_fragment),
 marked as (select *, sum(case when before is null or x0 > before then 1 else 0 end) over (partition by page order by x0, x1 rows between unbounded preceding and current row) as grp from reach),
 spans as (select page, cast(grp as bigint) as grp, min(x0) as lo, max(x1) as hi, cast(count(*) as bigint) as n from marked group by page, grp)"""
 

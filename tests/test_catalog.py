@@ -34,6 +34,36 @@ def test_operator_matches_duckdb(spark, duck, name):
     assert got == rows(duck.sql(catalog.oracle_sql()[name]).df())
 
 
+def merged(boxes):
+    """Spans [lo, hi, n] of boxes that overlap or touch."""
+    out = []
+    for lo, hi in sorted(boxes):
+        if out and lo <= out[-1][1]:
+            out[-1][1:] = max(hi, out[-1][1]), out[-1][2] + 1
+        else:
+            out.append([lo, hi, 1])
+    return out
+
+
+def test_spans_and_gutters_are_of_all_boxes(spark):
+    pages = {1: [(sub, sub * 10.0 + at, sub * 10.0 + at + 8) for sub in range(1, 8) for at in (0.0, 300.0)], 2: [(2, 0.0, 100.0), (4, 50.0, 160.0), (5, 160.0, 200.0), (7, 260.0, 300.0), (6, 270.0, 400.0)], 3: [(2, 0.0, 10.0)]}
+    boxes = spark.createDataFrame([(page, sub, x0, x1) for page, b in pages.items() for sub, x0, x1 in b], "page bigint, sub bigint, x0 double, x1 double")
+    got = catalog.run(spark, "geo_a9_merge_spans", {"v_fragment": boxes}).toPandas()
+    for page, b in pages.items():
+        assert got[got.page == page].sort_values("grp")[["lo", "hi", "n"]].values.tolist() == merged([x[1:] for x in b])
+    cuts = catalog.run(spark, "geo_a10_gutter", {"v_fragment": boxes}).toPandas().set_index("page")
+    assert cuts.loc[1].tolist() == [78.0, 310.0, 7] and cuts.loc[2].tolist() == [200.0, 260.0, 3] and len(cuts) == 2
+
+
+def test_spans_of_the_table_are_of_all_boxes(duck):
+    """The input view against plain Python, without the operator's text."""
+    pages = {}
+    for page, x0, x1 in duck.sql("select l_orderkey % 50, cast(l_linenumber * 90 + l_quantity as double), cast(l_linenumber * 90 + l_quantity + 20 + l_discount * 100 as double) from lineitem").fetchall():
+        pages.setdefault(page, []).append((x0, x1))
+    got = duck.sql(catalog.oracle_sql()["geo_a9_merge_spans"]).df()
+    assert got.n.sum() == sum(map(len, pages.values())) and len(got) == sum(len(merged(b)) for b in pages.values())
+
+
 def test_ewma_matches_closed_form(spark, duck):
     got = rows(kernel_queries.QUERIES["stream_r3_ewma"](spark, SF).toPandas())
     assert got == rows(duck.sql(kernel_queries.ORACLES["stream_r3_ewma"]).df())
