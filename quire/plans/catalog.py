@@ -248,7 +248,7 @@ def prot_f25_typography(d):
 @operator
 def prot_f26_f27_finish(d):
     out = t.swiss(d, "concat(coalesce(text, ''), case when doc_id % 2 = 0 then '.' else '' end)")
-    return f"select doc_id, {t.final_period(d, out, 'substring(coalesce(text, ' + chr(39) * 2 + '), 1, 20)')} as finished from documents"
+    return f"select doc_id, {t.final_period(d, out, "coalesce(text, '')")} as finished from documents"
 
 
 def _marks(d, x):

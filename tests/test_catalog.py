@@ -64,6 +64,14 @@ def test_spans_of_the_table_are_of_all_boxes(duck):
     assert got.n.sum() == sum(map(len, pages.values())) and len(got) == sum(len(merged(b)) for b in pages.values())
 
 
+def test_final_period_is_told_from_the_end_of_the_text(spark):
+    texts = {1: "A text that is longer than twenty signs.", 3: "Short and open: this one has no stop", 2: "A text that is longer than twenty signs", 4: "Twenty signs and more, groß!", 5: "Sign twenty is a dot. And then", 6: "Sign twenty is a dot. And then", 8: "", 10: None}
+    want = {1: texts[1], 3: texts[3], 2: texts[2], 4: "Twenty signs and more, gross!.", 5: texts[5], 6: texts[6], 8: ".", 10: "."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = catalog.run(spark, "prot_f26_f27_finish", {"documents": docs}).toPandas()
+    assert dict(zip(got.doc_id, got.finished, strict=True)) == want
+
+
 def test_ewma_matches_closed_form(spark, duck):
     got = rows(kernel_queries.QUERIES["stream_r3_ewma"](spark, SF).toPandas())
     assert got == rows(duck.sql(kernel_queries.ORACLES["stream_r3_ewma"]).df())
