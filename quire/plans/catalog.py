@@ -195,7 +195,10 @@ select p.doc_id, p.line_index, p.next_index, {t.join_hyphen(d, 'p.line', 'n.line
 
 @operator
 def flow_f7_join(d):
-    return f"select doc_id, {t.join_hyphen(d, 'concat(substring(text, 1, 8), case when doc_id % 2 = 0 then ' + chr(39) + '-' + chr(39) + ' else ' + chr(39) + chr(39) + ' end)', 'substring(text, 9, 8)')} as joined from documents where text is not null"
+    """Every line with the next one that is not blank; a document's last line stands alone."""
+    return f"""with filled as (select doc_id, line_index, {t.strip(d, 'line')} as line from v_block where {t.strip(d, 'line')} <> ''),
+paired as (select *, lead(line) over (partition by doc_id order by line_index) as after from filled)
+select doc_id, line_index, case when after is null then line else {t.join_hyphen(d, 'line', 'after')} end as joined from paired"""
 
 
 @operator

@@ -72,6 +72,16 @@ def test_final_period_is_told_from_the_end_of_the_text(spark):
     assert dict(zip(got.doc_id, got.finished, strict=True)) == want
 
 
+def test_f7_joins_whole_lines(spark):
+    long = "this line is far longer than sixteen signs and ends in intelli-"
+    texts = {1: f"{long} \n gent readers\nand a dash --\nlast of a paragraph-\nnext", 2: "one line only, well beyond sixteen signs", 3: "", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = catalog.run(spark, "flow_f7_join", {"documents": docs}).orderBy("doc_id", "line_index").toPandas()
+    want = [long[:-1] + "gent readers", "gent readers and a dash --", "and a dash -- last of a paragraph-", "last of a paragraphnext", "next"]
+    assert got[got.doc_id == 1].joined.tolist() == want
+    assert got[got.doc_id == 2].joined.tolist() == [texts[2]] and len(got) == 6
+
+
 def test_ewma_matches_closed_form(spark, duck):
     got = rows(kernel_queries.QUERIES["stream_r3_ewma"](spark, SF).toPandas())
     assert got == rows(duck.sql(kernel_queries.ORACLES["stream_r3_ewma"]).df())
