@@ -16,7 +16,7 @@ from quire.functions.dialect import DUCK, SPARK, Spark
 from quire.sources.inputs import NEEDS, VIEWS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-OPERATORS: dict[str, Callable[[Spark], str]] = {}
+OPERATORS: dict[str, Callable[..., str]] = {}
 
 
 def operator(f):
@@ -46,9 +46,9 @@ def sql(name: str, d: Spark = DUCK) -> str:
     return _with(d, OPERATORS[name](d))
 
 
-def run(spark: SparkSession, name: str, frames: dict[str, DataFrame]) -> DataFrame:
-    """Apply an operator to DataFrames: its input views by name, or the tables they derive from."""
-    body = OPERATORS[name](SPARK)
+def run(spark: SparkSession, name: str, frames: dict[str, DataFrame], **options: int) -> DataFrame:
+    """Apply an operator to DataFrames: its input views by name, or the tables they derive from; ``options`` are its own."""
+    body = OPERATORS[name](SPARK, **options)
     body = body if any(re.search(rf"\b{v}\b", body) for v in frames if v in VIEWS) else _with(SPARK, body)
     bound = {k: v for k, v in frames.items() if re.search(rf"\b{k}\b", body)}
     for k in bound:
@@ -401,8 +401,8 @@ def jobs_k13_unique_names(d):
 
 
 @operator
-def jobs_e8_lru(d):
-    return "select user_id, last_used from (select user_id, max(ts) as last_used, row_number() over (order by max(ts) desc, user_id) as r from events group by user_id) x where r <= 100"
+def jobs_e8_lru(d, size: int = 20_000):
+    return f"select user_id, last_used from (select user_id, max(ts) as last_used, row_number() over (order by max(ts) desc, user_id) as r from events group by user_id) x where r <= {size}"
 
 
 @operator

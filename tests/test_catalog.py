@@ -82,6 +82,16 @@ def test_f7_joins_whole_lines(spark):
     assert got[got.doc_id == 2].joined.tolist() == [texts[2]] and len(got) == 6
 
 
+def test_lru_keeps_20000_entries_and_evicts_the_least_recent(spark):
+    many = spark.range(20_050).selectExpr("id as user_id", "cast(id % 1000 as timestamp) as ts")
+    got = catalog.run(spark, "jobs_e8_lru", {"events": many}).toPandas()
+    order = sorted(range(20_050), key=lambda i: (-(i % 1000), i))
+    assert set(got.user_id) == set(order[:20_000]) and len(got) == 20_000
+    few = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (1, 40), (4, 5)], "user_id bigint, ts bigint")
+    assert sorted(catalog.run(spark, "jobs_e8_lru", {"events": few}, size=2).toPandas().user_id) == [1, 3]
+    assert catalog.run(spark, "jobs_e8_lru", {"events": few}).count() == 4
+
+
 def test_ewma_matches_closed_form(spark, duck):
     got = rows(kernel_queries.QUERIES["stream_r3_ewma"](spark, SF).toPandas())
     assert got == rows(duck.sql(kernel_queries.ORACLES["stream_r3_ewma"]).df())
