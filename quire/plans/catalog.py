@@ -167,7 +167,17 @@ def seg_a18_blocks(d):
 
 @operator
 def seg_a19_classify(d):
-    return f"""with {_blocks(d)} select doc_id, first_line, case when {d.like('text', '(?m)^[üÜ]')} then 'bullet' when text like '⛔ RESTRICTED%' then 'restricted' when n_lines = 1 and length(text) <= 100 then 'heading' else 'paragraph' end as type, text from blocks"""
+    """Blocks with their type; one with a line that starts with ü has a row for each of its items."""
+    sign = d.like("line", "^[üÜ]")
+    item = d.replace(d.joined("line", "' '", "line_index"), r"[ \t\n\r\f]+", " ")
+    return f"""with {_blocks(d)},
+typed as (select doc_id, run, first_line, case when {d.like('text', '(?m)^ü')} then 'bullet' when text like '⛔ RESTRICTED%' then 'restricted' when n_lines = 1 and length(text) <= 100 then 'heading' else 'paragraph' end as type, text from blocks),
+signs as (select n.doc_id, n.run, n.line_index, n.line, sum(case when {sign} then 1 else 0 end) over (partition by n.doc_id, n.run order by n.line_index rows between unbounded preceding and current row) as item
+  from numbered n join typed b on n.doc_id = b.doc_id and n.run = b.run where b.type = 'bullet' and n.line <> ''),
+bare as (select doc_id, run, line_index, item, {t.strip(d, d.replace('line', '^[üÜ]+', ''))} as line from signs),
+items as (select doc_id, min(line_index) as first_line, {item} as text from bare group by doc_id, run, item)
+select doc_id, first_line, type, text from typed where type <> 'bullet'
+union all select doc_id, first_line, 'bullet', {t.strip(d, 'text')} from items where {t.strip(d, 'text')} <> ''"""
 
 
 @operator

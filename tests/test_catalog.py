@@ -92,6 +92,14 @@ def test_lru_keeps_20000_entries_and_evicts_the_least_recent(spark):
     assert catalog.run(spark, "jobs_e8_lru", {"events": few}).count() == 4
 
 
+def test_a19_splits_bullets_into_items(spark):
+    blocks = {1: ["Before  the list", "ü first item", "goes on", "Ü  second\titem", "ü", "üü third"], 2: ["Über alles"], 3: ["a line", "b line"]}
+    lines = spark.createDataFrame([(doc, i, x) for doc, b in blocks.items() for i, x in enumerate(b)], "doc_id bigint, line_index bigint, line string")
+    got = catalog.run(spark, "seg_a19_classify", {"v_block": lines}).orderBy("doc_id", "first_line").toPandas()
+    items = [(1, 0, "bullet", "Before the list"), (1, 1, "bullet", "first item goes on"), (1, 3, "bullet", "second item"), (1, 5, "bullet", "third")]
+    assert list(got.itertuples(index=False, name=None)) == [*items, (2, 0, "heading", "Über alles"), (3, 0, "paragraph", "a line\nb line")]
+
+
 def test_ewma_matches_closed_form(spark, duck):
     got = rows(kernel_queries.QUERIES["stream_r3_ewma"](spark, SF).toPandas())
     assert got == rows(duck.sql(kernel_queries.ORACLES["stream_r3_ewma"]).df())
