@@ -26,11 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group linked by a similarity of 0.8 of five-word shingles. Rows
-    with a null doc_id stay; rows that repeat a kept doc_id stay with it."""
-    found = jaccard.jaccard_components(docs, width=5, num=80, den=100)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group linked by a similarity of 0.8 of five-word shingles: the one of the least doc_id,
+    also where ids repeat or are null."""
+    return jaccard.one_of_each(docs, width=5, num=80, den=100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def spanning(links: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
     return [(find(x), x) for x in range(m) if find(x) != x]
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, cells array<bigint>"
+_SIGNED = "doc_id bigint, tie bigint, n_shingles bigint, fp1 bigint, fp2 bigint, cells array<bigint>"
 
 
 def _sign(width: int, num: int, den: int):
@@ -195,12 +195,13 @@ def _sign(width: int, num: int, den: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("tie"),
                     pa.array([len(s) for s in sets], type=pa.int64()),
                     pa.array([p[0] for p in prints], type=pa.int64()),
                     pa.array([p[1] for p in prints], type=pa.int64()),
                     ragged([cell_keys(s, num, den).view(np.int64) for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "cells"],
+                names=["doc_id", "tie", "n_shingles", "fp1", "fp2", "cells"],
             )
 
     return run
@@ -214,7 +215,7 @@ def _send(width: int):
         for batch in slices(batches, 500):
             sets = list(shingle_sets(batch.column("text").to_pylist(), width))
             rows = []
-            for doc, values, regions in zip(batch.column("doc_id").to_pylist(), sets, batch.column("regions").to_pylist(), strict=True):
+            for doc, values, regions in zip(batch.column("node").to_pylist(), sets, batch.column("regions").to_pylist(), strict=True):
                 data = values.tobytes()
                 for r in regions:
                     pivot, t = r["pivot"], r["chunks"]
@@ -222,7 +223,7 @@ def _send(width: int):
                     rows += [(pivot, min(own, k) * t + max(own, k), doc, data) for k in range(t)]
             for at in range(0, len(rows), 2000):
                 columns = zip(*rows[at : at + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["pivot", "tile", "doc_id", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["pivot", "tile", "node", "values"])
 
     return run
 
@@ -232,8 +233,9 @@ def _join(num: int, den: int):
         a: list[int] = []
         b: list[int] = []
         for _, table in runs(batches, ["pivot", "tile"]):
-            ids = table.column("doc_id").to_pylist()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("values").to_pylist()]
+            once = dict(zip(table.column("node").to_pylist(), table.column("values").to_pylist(), strict=True))
+            ids = list(once)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in once.values()]
             for i, j in spanning(voronoi_links(sets, num, den), len(ids)):
                 a.append(ids[i])
                 b.append(ids[j])
@@ -245,29 +247,54 @@ def _join(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: component_id is the least doc_id reachable
-    by links, a link being a Jaccard similarity of at least num / den of the sets of
-    ``width``-word shingles (words lower-cased in A-Z)."""
+def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tie, n_shingles, fp1, fp2), where tie is the hash of the text; and classes of equal sets
+    (fp1, fp2, root, of): root is alike in linked classes, of is their least doc_id. A class is known in links by
+    fp1, so a doc_id may have several texts or be null."""
     spark = docs.sparkSession
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     signed = stored(picked.mapInArrow(_sign(width, num, den), _SIGNED), "signed")
-    usable = signed.where("doc_id is not null and n_shingles > 0")
-    one = usable.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n_shingles", "cells")).alias("r"))
-    cells = one.select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.explode("r.cells").alias("cell"))
+    usable = signed.where("n_shingles > 0")
+    one = usable.groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n_shingles", "cells")).alias("r"))
+    cells = one.select(F.col("fp1").alias("rep"), F.col("r.n_shingles").alias("n"), F.explode("r.cells").alias("cell"))
     around = Window.partitionBy("cell")
     members = cells.select("rep", "n", F.min("rep").over(around).alias("pivot"), F.max("rep").over(around).alias("top")).where("pivot < top")
     members = stored(members.groupBy("pivot", "rep").agg(F.max("n").alias("n")), "members")
     chunks = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / REGION_SHINGLES), F.ceil(F.count("*") / REGION_DOCS)).cast("bigint").alias("chunks"))
     regions = members.join(chunks, "pivot").groupBy("rep").agg(F.collect_list(F.struct("pivot", "chunks")).alias("regions"))
+    reps = usable.groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("r")).select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.tie").alias("rep_tie"))
+    regions = regions.join(reps, regions.rep == reps.fp1).select(F.col("rep").alias("node"), "rep_id", "rep_tie", "regions")
     few = members.count() <= BROADCAST_DOCS
-    candidates = picked.join(F.broadcast(regions) if few else regions, picked.doc_id == regions.rep).select("doc_id", "text", "regions")
-    sent = candidates.mapInArrow(_send(width), "pivot bigint, tile bigint, doc_id bigint, values binary")
+    candidates = picked.join(F.broadcast(regions) if few else regions, picked.doc_id.eqNullSafe(F.col("rep_id")) & (picked.tie == F.col("rep_tie"))).select("node", "text", "regions")
+    sent = candidates.mapInArrow(_send(width), "pivot bigint, tile bigint, node bigint, values binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = sent.repartition(tasks, "pivot", "tile").sortWithinPartitions("pivot", "tile").mapInArrow(_join(num, den), "a bigint, b bigint")
-    found = components(links)
-    reps = usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    classes = reps.join(found, reps.rep == found.node, "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("of"))
-    plain = signed.select("doc_id", "n_shingles", "fp1", "fp2")
+    found = stored(components(links), "found")
+    linked = found.join(reps, found.node == reps.fp1)
+    least = linked.groupBy("component").agg(F.min("rep_id").alias("least"))
+    named = found.join(least, "component").select("node", "component", "least")
+    classes = reps.join(named, reps.fp1 == named.node, "left").select("fp1", "fp2", F.coalesce("component", "fp1").alias("root"), F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least")).alias("of"))
+    return signed.select("doc_id", "tie", "n_shingles", "fp1", "fp2"), classes
+
+
+def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: component_id is the least doc_id reachable
+    by links, a link being a Jaccard similarity of at least num / den of the sets of
+    ``width``-word shingles (words lower-cased in A-Z)."""
+    plain, classes = _linked(docs, width, num, den)
     out = plain.join(classes, ["fp1", "fp2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("of", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """One row of each group of linked rows, the one of the least doc_id (nulls last) and text hash; rows without
+    words stay."""
+    plain, classes = _linked(docs, width, num, den)
+    rows = plain.where("n_shingles > 0").groupBy("fp1", "fp2", "doc_id", "tie").agg(F.count("*").alias("n"))
+    first = rows.join(classes, ["fp1", "fp2"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n")).alias("r"))
+    wordless = plain.where("n_shingles = 0").select("doc_id", "tie").distinct().withColumn("n", F.lit(1).cast("bigint"))
+    keys = stored(first.select("r.doc_id", "r.tie", "r.n").unionByName(wordless).toDF("_id", "_tie", "_n"), "keys")
+    kept = lambda k: docs.join(k, docs.doc_id.cast("bigint").eqNullSafe(k["_id"]) & (F.xxhash64(docs.text) == k["_tie"]))
+    out = kept(keys.where("_n = 1")).select(docs.columns)
+    again = keys.where("_n > 1")
+    return out if again.isEmpty() else out.unionByName(kept(again).dropDuplicates(["_id", "_tie"]).select(docs.columns))

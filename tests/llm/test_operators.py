@@ -155,6 +155,19 @@ def test_jaccard(spark, docs, empty, monkeypatch, width, num, den):
         assert got.component_id.isna().sum() == 1 and jaccard.jaccard_components(empty, width, num, den).count() == 0
 
 
+def test_repeated_and_null_ids_are_judged_by_their_own_text(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (5, a + " tail"), (5, b), (3, c), (5, c + " end"), (None, d), (None, d), (7, d + " x"), (9, e), (9, e), (None, b + " y"), (11, ""), (11, ""), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table, 5, 80, 100).collect())
+    of = [1, 1, 5, 3, 3, None, None, 7, 9, 9, None, 11, 11, None]
+    assert got == Counter((i, len(shingle_set(t, 5)), o) for (i, t), o in zip(rows, of, strict=True))
+    kept = Counter(tuple(r) for r in jaccard.one_of_each(table, 5, 80, 100).collect())
+    assert kept == Counter([(1, a), (5, b), (3, c), (7, d + " x"), (9, e), (11, ""), (11, ""), (None, None)])
+    assert Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, table, SF).collect()) == kept
+
+
 def test_voronoi_loses_no_link(monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
     sets = [np.unique(np.array([hash(s) & 0xFFFFFFFF for s in shingle_set(t, 2)], dtype=np.uint64)) for _, t in near_copies()]
