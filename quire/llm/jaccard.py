@@ -1,27 +1,28 @@
 """Exact Jaccard join of documents as a metric-space join.
 
-Jaccard distance is a metric, so pivots cut the documents into regions and the triangle
-inequality bounds which documents near a border must stand in two of them. Text makes
-this hard in one way: almost all documents lie at distance nearly 1 from almost all
-others, where no window excludes anything. The join therefore goes in two levels.
-
-1. Cells. The space of shingles is hashed into K slices. Two sets within the distance differ in
-   at most D shingles, so with K > D slices at least one slice is the same in both: they lie
-   at distance 0 in that slice's subspace. Sets of like size (sizes within a class, and
-   those just above it as guests) that share a slice form a cell; the least document
-   of a cell is its pivot, and the pivot's region is all that shares a cell with it. Each close
-   pair meets in a region, without any assumption about how frequent a shingle is.
-   Documents in no cell with another are done.
-2. Regions. Inside a region distances are informative. A region is cut into Voronoi regions
-   around far-apart pivots; a document also goes to any region q with
-   d(x, q) <= d(x, p) + 2 eps, p its own pivot; and each region is joined in the same way until it is
-   small or does not get smaller, where all its intersections are counted exactly as one
-   matrix product over the patterns of shared shingles.
-
-Equal sets are one class and compared once. A region over ``REGION_SHINGLES`` is cut into
-tiles of chunk pairs, each a task's work of bounded size, so that no task holds a whole
-hot region. Components are told by links that span each region; links within a
-region that add nothing to its connectivity are not written.
+Jaccard distance is a metric, so distances to pivots tell what can be close: documents within eps
+of each other differ by at most eps in their distance to any pivot. The join works in rounds over
+regions that are stored between rounds.
+
+1. Regions. Almost all texts lie at distance nearly 1 from almost all others, where no window excludes
+   anything, so a filter goes first: shingles are hashed into K slices. Two sets within the
+   distance differ in at most D shingles, so with K > D one slice at least is the same in both. Sets of like size
+   that share a slice lie in a cell; the least document of a cell is a pivot, and its region is
+   all that shares a cell with it. Documents in no cell with another are done.
+2. Balls. Each document's distance to its least pivot is measured. Those within eps are linked to it. A region all of
+   whose documents are then connected is done; in any other, connected documents stay only if their
+   distance to the pivot is within eps of the distance of one that is not (the window).
+3. Voronoi regions. In each region of over ``SPLIT_DOCS`` documents, ``PIVOTS`` pivots are drawn, all distances to
+   them measured, and each document goes to the region of its nearest pivot p, and by window to that of any q with
+   d(x, q) <= min(d(x, p) + 2 eps, 1 - eps). Documents at 1 - 2 eps or more from every pivot form the outer region,
+   with those from 1 - 3 eps on as its window: a close pair meets in the home of one of the two. The ball rule
+   of 2 holds around each pivot. Regions that do not get smaller are cut by a fresh slicing as in 1.
+4. Leaves. Small regions are joined exactly in memory, by pivots and windows again and by one matrix
+   product over patterns of shared shingles; regions still over ``REGION_SHINGLES`` after
+   ``MAX_ROUNDS`` go as tiles of chunk pairs, each a task's work of bounded size.
+
+Equal sets are one class and compared once. Hot regions are dealt out to many tasks, each with the pivots. Links that add
+nothing to a region's connectivity are not written.
 
 Nulls and edge cases: a null or wordless text has the empty set and links with nothing; a null
 doc_id takes no part and has a null component; of rows that repeat a doc_id each is
@@ -35,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.components import components
 from quire.llm.textvec import fingerprint, mix, shingle_sets
@@ -44,12 +45,20 @@ from quire.llm.workspace import ragged, runs, slices, stored
 #: Shingles and documents of a region, or of a chunk of one, that one task joins at once.
 REGION_SHINGLES = 2_000_000
 REGION_DOCS = 2_000
-#: Documents that are compared directly instead of through further pivots.
-SMALL = 192
+#: The same for distances to pivots.
+PART_SHINGLES = 500_000
+PART_DOCS = 250
+#: Documents of a region that is cut into Voronoi regions by a round of its own.
+SPLIT_DOCS = 192
+#: Documents that a leaf compares directly instead of through further pivots.
+SMALL = 96
 PIVOTS = 8
 MAX_DEPTH = 5
-#: Largest number of candidate documents whose ids are broadcast (8 bytes each).
-BROADCAST_DOCS = 1_000_000
+MAX_ROUNDS = 6
+#: Largest number of rows of three to five numbers (under 64 MB) that are broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Slicings that a sparse set tries before it sends keys of empty slices too.
+SLICINGS = 24
 #: Set sizes in a class lie within this ratio.
 CLASS_RATIO = 1.4
 
@@ -72,28 +81,34 @@ def size_classes(num: int, den: int, most: int = 1 << 26) -> tuple[np.ndarray, n
     return np.array(low), np.array(k), np.array(spare)
 
 
-def cell_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
+def cell_keys(values: np.ndarray, num: int, den: int, salt: int = 0) -> np.ndarray:
     """Keys of the cells that a set lies in: one for each slice, in its size class and, as a
     guest, in the class below if that has possible partners. Slices without a shingle give
-    no key: a set with at most ``spare`` of them shares some other slice with any partner."""
+    no key: a set with at most ``spare`` of them shares some other slice with any partner. A set with more
+    goes on to the next slicing, where that holds for it or it goes on again; so close sets share a
+    cell of the first slicing that suits one of them."""
     low, slices_of, spare_of = size_classes(num, den)
     n = len(values)
     if not n:
         return np.zeros(0, dtype=np.uint64)
     own = int(np.searchsorted(low, n, side="right")) - 1
     into = [own] + [own - 1] * bool(own and n * num <= (int(low[own]) - 1) * den)
-    place, content = mix(values ^ np.uint64(0x5BD1E995CAFEF00D)), mix(values + np.uint64(0x632BE59BD9B4E019))
     out = []
     for c in into:
         k = int(slices_of[c])
         if not k:
             continue
-        at = (place % np.uint64(k)).astype(np.int64)
-        total = np.zeros(k, dtype=np.uint64)
-        np.add.at(total, at, content)
-        keys = mix(total + mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 32)))
-        filled = np.bincount(at, minlength=k) > 0
-        out.append(keys[filled] if k - int(filled.sum()) <= spare_of[c] else keys)
+        for turn in range(SLICINGS):
+            seed = np.uint64((salt * SLICINGS + turn + 1) * 0x5BD1E995CAFEF00D & 0xFFFFFFFFFFFFFFFF)
+            at = (mix(values ^ seed) % np.uint64(k)).astype(np.int64)
+            total = np.zeros(k, dtype=np.uint64)
+            np.add.at(total, at, mix(values + seed))
+            keys = mix(total + mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 32)) + seed)
+            filled = np.bincount(at, minlength=k) > 0
+            enough = k - int(filled.sum()) <= spare_of[c]
+            out.append(keys if turn == SLICINGS - 1 and not enough else keys[filled])
+            if enough:
+                break
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -207,32 +222,101 @@ def _sign(width: int, num: int, den: int):
     return run
 
 
-def _send(width: int):
-    """Each candidate's set to each of its regions; in a region of t chunks, to the t tiles
-    that pair its own chunk with each."""
-
+def _sets(width: int):
     def run(batches):
         for batch in slices(batches, 500):
             sets = list(shingle_sets(batch.column("text").to_pylist(), width))
-            rows = []
-            for doc, values, regions in zip(batch.column("node").to_pylist(), sets, batch.column("regions").to_pylist(), strict=True):
-                data = values.tobytes()
-                for r in regions:
-                    pivot, t = r["pivot"], r["chunks"]
-                    own = int(mix(np.array([doc & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0] % np.uint64(t))
-                    rows += [(pivot, min(own, k) * t + max(own, k), doc, data) for k in range(t)]
-            for at in range(0, len(rows), 2000):
-                columns = zip(*rows[at : at + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["pivot", "tile", "node", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "values"])
+
+    return run
+
+
+def _distance(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(nodes, their sizes, pivots, common, across) of one part of a region; common and across are the sizes of
+    intersections and unions, members x pivots."""
+    pivot = table.column("pivot").to_numpy(zero_copy_only=False).astype(bool)
+    ids, raw = table.column("node").to_numpy(), table.column("values").to_pylist()
+    held = [np.frombuffer(raw[i], dtype=np.uint64) for i in np.flatnonzero(pivot)]
+    at = np.flatnonzero(~pivot)
+    sets = [np.frombuffer(raw[i], dtype=np.uint64) for i in at]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    flat, ends = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), np.cumsum(size)
+    common = np.zeros((len(at), len(held)), dtype=np.int64)
+    for k, p in enumerate(held):
+        hit = p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat
+        total = np.concatenate(([0], np.cumsum(hit)))
+        common[:, k] = total[ends] - total[ends - size]
+    across = size[:, None] + np.array([len(p) for p in held], dtype=np.int64)[None, :] - common
+    return ids[at], size, ids[pivot], common, across
+
+
+_MEASURED = "region bigint, node bigint, n bigint, d double, close boolean"
+
+
+def _measure(num: int, den: int):
+    """Distance of each member to the region's one pivot."""
+
+    def run(batches):
+        for (region, _), table in runs(batches, ["region", "part"]):
+            ids, size, _, common, across = _distance(table)
+            common, across = common[:, 0], across[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), region)), pa.array(ids), pa.array(size), pa.array(1 - common / across), pa.array(den * common >= num * across)], names=["region", "node", "n", "d", "close"])
 
     return run
 
 
-def _join(num: int, den: int):
+_SPLIT = "parent bigint, region bigint, pivot bigint, node bigint, n bigint, d double, close boolean, outer boolean"
+
+
+def _split(num: int, den: int):
+    """Home and windows of each member among the region's pivots; ``close`` is a link with the pivot."""
+    eps, slack = 1 - num / den, 1e-9
+
+    def run(batches):
+        for (region, _), table in runs(batches, ["region", "part"]):
+            ids, size, pivots, common, across = _distance(table)
+            d = 1 - common / across
+            nearest = d.min(axis=1)
+            member, k = np.nonzero((d <= nearest[:, None] + 2 * eps + slack) & (d <= 1 - eps + slack))
+            far = np.flatnonzero(nearest >= 1 - 3 * eps - slack)
+            own = mix(np.full(1, region, dtype=np.int64).view(np.uint64))
+            sub, beyond = mix(pivots.view(np.uint64) + own), mix(own + np.uint64(1))
+            close = (den * common >= num * across)[member, k]
+            rows = np.concatenate((member, far))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(rows), region)),
+                    pa.array(np.concatenate((sub[k], np.repeat(beyond, len(far)))).view(np.int64)),
+                    pa.array(np.concatenate((pivots[k], ids[far]))),
+                    pa.array(ids[rows]),
+                    pa.array(size[rows]),
+                    pa.array(np.concatenate((d[member, k], np.ones(len(far))))),
+                    pa.array(np.concatenate((close, np.zeros(len(far), dtype=bool)))),
+                    pa.array(np.arange(len(rows)) >= len(member)),
+                ],
+                names=["parent", "region", "pivot", "node", "n", "d", "close", "outer"],
+            )
+
+    return run
+
+
+def _recell(num: int, den: int, salt: int):
+    """Cells of a fresh slicing for members of a region."""
+
+    def run(batches):
+        for batch in slices(batches, 500):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("values").to_pylist()]
+            cells = [mix(cell_keys(s, num, den, salt) + np.uint64(r & 0xFFFFFFFFFFFFFFFF)).view(np.int64) for s, r in zip(sets, batch.column("region").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), ragged(cells, pa.int64())], names=["region", "node", "n", "cells"])
+
+    return run
+
+
+def _leaf(num: int, den: int):
     def run(batches):
         a: list[int] = []
         b: list[int] = []
-        for _, table in runs(batches, ["pivot", "tile"]):
+        for _, table in runs(batches, ["region", "part"]):
             once = dict(zip(table.column("node").to_pylist(), table.column("values").to_pylist(), strict=True))
             ids = list(once)
             sets = [np.frombuffer(x, dtype=np.uint64) for x in once.values()]
@@ -247,32 +331,151 @@ def _join(num: int, den: int):
     return run
 
 
-def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its known number of narrow rows is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _shared(cells: DataFrame) -> DataFrame:
+    """(region, node, n) of rows (node, n, cell): the least node of each cell that has two at least, and who lies in a cell with it."""
+    both = cells.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("top")).where("region < top").select("cell", "region")
+    return cells.join(both, "cell").groupBy("region", "node").agg(F.max("n").alias("n"))
+
+
+class _Regions:
+    """Sets of the candidates, and what is done with rows (region, node, n) of their regions."""
+
+    def __init__(self, sets: DataFrame, num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
+        self.tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def _chunks(self, members: DataFrame, docs: int, shingles: int) -> DataFrame:
+        """The members with ``chunks``: tasks that their region is dealt to."""
+        hot = members.groupBy("region").agg(F.greatest(F.ceil(F.sum("n") / shingles), F.ceil(F.count("*") / docs)).cast("bigint").alias("chunks")).where("chunks > 1")
+        return members.join(hot, "region", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("bigint")))
+
+    def _run(self, routes: DataFrame, kernel, schema: str, name: str) -> DataFrame:
+        """``kernel`` over the sets of rows (region, part, pivot, node), sorted by region and part."""
+        routes = stored(routes.select("region", "part", "pivot", "node"), "routes")
+        sent = self.sets.join(_bounded(routes, routes.count()), "node")
+        return stored(sent.repartition(self.tasks, "region", "part").sortWithinPartitions("region", "part").mapInArrow(kernel, schema), name)
+
+    def _with_pivots(self, members: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Routes of members, each in one part of its region, and of the pivots to all its parts."""
+        dealt = self._chunks(members, PART_DOCS, PART_SHINGLES).withColumn("part", F.pmod(F.xxhash64("node"), "chunks"))
+        parts = dealt.groupBy("region").agg(F.max("chunks").alias("chunks"))
+        spread = pivots.join(parts, "region").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        return dealt.select("region", "part", F.lit(False).alias("pivot"), "node").unionByName(spread.select("region", "part", F.lit(True).alias("pivot"), "node"))
+
+    def measure(self, members: DataFrame) -> DataFrame:
+        """Distances to the pivot, which is the region's own node."""
+        pivots = members.select("region").distinct().withColumn("node", F.col("region"))
+        return self._run(self._with_pivots(members, pivots), _measure(self.num, self.den), _MEASURED, "measured")
+
+    def split(self, members: DataFrame, turn: int) -> DataFrame:
+        """One round of Voronoi regions, see ``_split``."""
+        drawn = F.xxhash64("node", F.lit(turn))
+        pivots = members.groupBy("region", F.pmod(drawn, F.lit(PIVOTS)).alias("k")).agg(F.min_by("node", F.xxhash64("node", F.lit(-1 - turn))).alias("node"))
+        return self._run(self._with_pivots(members, pivots), _split(self.num, self.den), _SPLIT, "split")
+
+    def recell(self, members: DataFrame, turn: int) -> DataFrame:
+        """The regions of a fresh slicing inside each region."""
+        rows = self.sets.join(_bounded(members, members.count()), "node").select("region", "node", "values")
+        cells = stored(rows.mapInArrow(_recell(self.num, self.den, turn + 1), "region bigint, node bigint, n bigint, cells array<bigint>"), "recelled").select("region", "node", "n", F.explode("cells").alias("cell"))
+        both = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least < top")
+        return cells.join(both, "cell").select(F.xxhash64("region", "least", F.lit(turn)).alias("region"), "node", "n").distinct()
+
+    def leaves(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) inside each region; a region of t chunks has a task for each pair of them."""
+        dealt = self._chunks(members, REGION_DOCS, REGION_SHINGLES).withColumns({"own": F.pmod(F.xxhash64("node"), "chunks"), "other": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))})
+        part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
+        return self._run(dealt.select("region", part.alias("part"), F.lit(False).alias("pivot"), "node"), _leaf(self.num, self.den), "a bigint, b bigint", "links")
+
+
+def _window(d: Column, least: Column, most: Column, eps: float) -> Column:
+    """Whether a connected document may be within eps of one at a distance from least to most of the pivot."""
+    return (d >= least - eps - 1e-9) & (d <= most + eps + 1e-9)
+
+
+def _unresolved(members: DataFrame, measured: DataFrame, eps: float) -> DataFrame:
+    """(region, node, n) of what the distances to the regions' pivots leave open."""
+    found = components(measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b")))
+    known = measured.select("region", "node", "d")
+    rows = members.join(known, ["region", "node"], "left").join(found.withColumnRenamed("component", "c"), "node", "left")
+    rows = rows.select("region", "node", "n", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("region"), 0.0).otherwise(F.col("d")).alias("d"), F.col("d").isNotNull().alias("is_measured"))
+    rows = stored(rows, "rows")
+    own = rows.where("node = region").select("region", F.col("c").alias("of"))
+    marked = rows.join(own, "region").withColumn("apart", F.col("c") != F.col("of"))
+    other = F.when(F.col("node") != F.col("region"), F.col("c"))
+    told = marked.groupBy("region").agg(
+        F.min(other).alias("lo"),
+        F.max(other).alias("hi"),
+        F.coalesce(F.max(F.col("apart") & ~F.col("is_measured")), F.lit(False)).alias("blind"),
+        F.min(F.when(F.col("apart"), F.coalesce("d", F.lit(0.0)))).alias("least"),
+        F.max(F.when(F.col("apart"), F.coalesce("d", F.lit(1.0)))).alias("most"),
+    )
+    open_ = told.where((F.col("lo") < F.col("hi")) | F.col("blind")).select("region", "least", "most")
+    keep = F.col("apart") | F.col("d").isNull() | _window(F.col("d"), F.col("least"), F.col("most"), eps)
+    return marked.join(open_, "region").where(keep).select("region", "node", "n")
+
+
+def _join_regions(members: DataFrame, regions: _Regions, eps: float, log: list | None = None) -> list[DataFrame]:
+    """Links (a, b) of all regions, in tables; ``log`` gets a dict of counts for each round."""
+    links, now = [], members
+    for turn in range(MAX_ROUNDS):
+        docs = stored(now.groupBy("region").agg(F.count("*").alias("docs")).where(F.col("docs") > SPLIT_DOCS), "large")
+        if docs.isEmpty():
+            break
+        large = stored(now.join(docs, "region"), "members")
+        links.append(regions.leaves(now.join(docs, "region", "left_anti")))
+        split = regions.split(large, turn)
+        links.append(split.where("close").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        apart = split.where("not outer and not close").groupBy("region").agg(F.min("d").alias("least"))
+        balls = split.where("not outer").join(apart, "region").where(F.col("d") >= F.col("least") - eps - 1e-9)
+        subs = stored(balls.select("parent", "region", "node", "n").unionByName(split.where("outer").select("parent", "region", "node", "n")), "regions")
+        size = subs.groupBy("parent", "region").agg(F.count("*").alias("n_sub")).join(docs.withColumnRenamed("region", "parent"), "parent")
+        stuck = stored(size.where((F.col("n_sub") > SPLIT_DOCS) & (F.col("n_sub") > 0.7 * F.col("docs"))).select("region"), "stuck")
+        if log is not None:
+            log.append({"members": large.count(), "routed": split.count(), "left": subs.count(), "stuck": stuck.count()})
+        now = subs.select("region", "node", "n")
+        if not stuck.isEmpty():
+            again = regions.recell(now.join(stuck, "region").select("region", "node"), turn)
+            now = now.join(stuck, "region", "left_anti").unionByName(again)
+        now = stored(now, "members")
+    links.append(regions.leaves(now))
+    return links
+
+
+def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tie, n_shingles, fp1, fp2), where tie is the hash of the text; and classes of equal sets
     (fp1, fp2, root, of): root is alike in linked classes, of is their least doc_id. A class is known in links by
     fp1, so a doc_id may have several texts or be null."""
-    spark = docs.sparkSession
+    eps = 1 - num / den
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     signed = stored(picked.mapInArrow(_sign(width, num, den), _SIGNED), "signed")
     usable = signed.where("n_shingles > 0")
-    one = usable.groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n_shingles", "cells")).alias("r"))
-    cells = one.select(F.col("fp1").alias("rep"), F.col("r.n_shingles").alias("n"), F.explode("r.cells").alias("cell"))
-    around = Window.partitionBy("cell")
-    members = cells.select("rep", "n", F.min("rep").over(around).alias("pivot"), F.max("rep").over(around).alias("top")).where("pivot < top")
-    members = stored(members.groupBy("pivot", "rep").agg(F.max("n").alias("n")), "members")
-    chunks = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / REGION_SHINGLES), F.ceil(F.count("*") / REGION_DOCS)).cast("bigint").alias("chunks"))
-    regions = members.join(chunks, "pivot").groupBy("rep").agg(F.collect_list(F.struct("pivot", "chunks")).alias("regions"))
-    reps = usable.groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("r")).select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.tie").alias("rep_tie"))
-    regions = regions.join(reps, regions.rep == reps.fp1).select(F.col("rep").alias("node"), "rep_id", "rep_tie", "regions")
-    few = members.count() <= BROADCAST_DOCS
-    candidates = picked.join(F.broadcast(regions) if few else regions, picked.doc_id.eqNullSafe(F.col("rep_id")) & (picked.tie == F.col("rep_tie"))).select("node", "text", "regions")
-    sent = candidates.mapInArrow(_send(width), "pivot bigint, tile bigint, node bigint, values binary")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = sent.repartition(tasks, "pivot", "tile").sortWithinPartitions("pivot", "tile").mapInArrow(_join(num, den), "a bigint, b bigint")
-    found = stored(components(links), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n_shingles", "cells")).alias("r")
+    one = usable.groupBy("fp1", "fp2").agg(first)
+    cells = one.select(F.col("fp1").alias("node"), F.col("r.n_shingles").alias("n"), F.explode("r.cells").alias("cell"))
+    members = stored(_shared(cells), "members")
+    reps = stored(usable.groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("r")).select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.tie").alias("rep_tie")), "reps")
+    met = stored(members.select("node").distinct().join(reps, F.col("node") == reps.fp1).select("node", "rep_id", "rep_tie"), "met")
+    n_met = met.count()
+    same = lambda rows: rows.doc_id.eqNullSafe(F.col("rep_id")) & (rows.tie == F.col("rep_tie"))
+    candidates = picked.join(_bounded(met, n_met), same(picked)).select("node", "text")
+    if usable.select("doc_id", "tie").join(_bounded(met, n_met), same(usable)).count() > n_met:  # rows that repeat
+        candidates = candidates.dropDuplicates(["node"])
+    regions = _Regions(stored(candidates.mapInArrow(_sets(width), "node bigint, values binary"), "sets"), num, den)
+    least = members.groupBy("node").agg(F.min("region").alias("region"), F.max("n").alias("n")).where("region <> node")
+    measured = regions.measure(stored(least.select("region", "node", "n"), "least"))
+    links = [measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b"))]
+    links += _join_regions(stored(_unresolved(members, measured, eps), "open"), regions, eps, log)
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    found = stored(components(every), "found")
     linked = found.join(reps, found.node == reps.fp1)
-    least = linked.groupBy("component").agg(F.min("rep_id").alias("least"))
-    named = found.join(least, "component").select("node", "component", "least")
+    named = linked.groupBy("component").agg(F.min("rep_id").alias("least")).join(found, "component").select("node", "component", "least")
     classes = reps.join(named, reps.fp1 == named.node, "left").select("fp1", "fp2", F.coalesce("component", "fp1").alias("root"), F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least")).alias("of"))
     return signed.select("doc_id", "tie", "n_shingles", "fp1", "fp2"), classes
 

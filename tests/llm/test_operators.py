@@ -144,8 +144,9 @@ def near_copies():
 def test_jaccard(spark, docs, empty, monkeypatch, width, num, den):
     rows = near_copies()
     monkeypatch.setattr(jaccard, "SMALL", 6)
-    if num == 80:  # tiles of hot regions
-        monkeypatch.setattr(jaccard, "REGION_DOCS", 5)
+    if num != 90:  # rounds of pivots, parts and tiles of hot regions
+        for name, value in (("SPLIT_DOCS", 4), ("PIVOTS", 2), ("MAX_ROUNDS", 2 if num == 80 else 4), ("REGION_DOCS", 5), ("PART_DOCS", 3), ("BROADCAST_ROWS", 5)):
+            monkeypatch.setattr(jaccard, name, value)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), width, num, den).toPandas()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_components(rows, width, num, den)
     if num == 90:
@@ -177,6 +178,40 @@ def test_voronoi_loses_no_link(monkeypatch):
     assert links == jaccard.spanning(list(zip(i.tolist(), j.tolist(), strict=True)), len(sets))
 
 
+def families():
+    """Texts that all have much in common, in families of near copies: no family's least text is close to all of it."""
+    rng = random.Random(12)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(150)]
+    out = []
+    for _ in range(12):
+        own = [f"f{rng.randrange(10**6)}" for _ in range(90)]
+        for _ in range(50):
+            w = shared + own
+            for _ in range(rng.randrange(14)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+def test_windows_decide_at_the_default_settings(spark):
+    rows = families()
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    log = []
+    plain, classes = jaccard._linked(table, 3, 90, 100, log)
+    got = plain.join(classes, ["fp1", "fp2"]).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.of) for r in got.itertuples()} == brute_components(rows, 3, 90, 100)
+    first = log[0]
+    # documents stand in their home and in windows, balls drop what is connected, and far regions take no part
+    assert first["members"] < first["routed"] < first["members"] * jaccard.PIVOTS and first["left"] < first["routed"]
+
+
+def test_sparse_sets_meet_in_no_cell_by_their_empty_slices():
+    rng = np.random.default_rng(5)
+    for n in (10, 20, 40, 60):
+        seen = Counter(k for _ in range(3000) for k in set(jaccard.cell_keys(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), 80, 100).tolist()))
+        assert max(seen.values()) == 1
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i + 1, i) for i in range(60)] + [(100, 101), (None, 3), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
