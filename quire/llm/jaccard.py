@@ -397,9 +397,8 @@ def _window(d: Column, least: Column, most: Column, eps: float) -> Column:
     return (d >= least - eps - 1e-9) & (d <= most + eps + 1e-9)
 
 
-def _unresolved(members: DataFrame, measured: DataFrame, eps: float) -> DataFrame:
-    """(region, node, n) of what the distances to the regions' pivots leave open."""
-    found = components(measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b")))
+def _unresolved(members: DataFrame, measured: DataFrame, found: DataFrame, eps: float) -> DataFrame:
+    """(region, node, n) of what the distances to the regions' pivots, and the components ``found`` by them, leave open."""
     known = measured.select("region", "node", "d")
     rows = members.join(known, ["region", "node"], "left").join(found.withColumnRenamed("component", "c"), "node", "left")
     rows = rows.select("region", "node", "n", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("region"), 0.0).otherwise(F.col("d")).alias("d"), F.col("d").isNotNull().alias("is_measured"))
@@ -468,12 +467,13 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
     regions = _Regions(stored(candidates.mapInArrow(_sets(width), "node bigint, values binary"), "sets"), num, den)
     least = members.groupBy("node").agg(F.min("region").alias("region"), F.max("n").alias("n")).where("region <> node")
     measured = regions.measure(stored(least.select("region", "node", "n"), "least"))
-    links = [measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b"))]
-    links += _join_regions(stored(_unresolved(members, measured, eps), "open"), regions, eps, log)
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    found = stored(components(every), "found")
+    found = stored(components(measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b"))), "found")
+    left = stored(_unresolved(members, measured, found, eps), "open")
+    if not left.isEmpty():
+        every = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        for more in _join_regions(left, regions, eps, log):
+            every = every.unionByName(more)
+        found = stored(components(every), "found")
     linked = found.join(reps, found.node == reps.fp1)
     named = linked.groupBy("component").agg(F.min("rep_id").alias("least")).join(found, "component").select("node", "component", "least")
     classes = reps.join(named, reps.fp1 == named.node, "left").select("fp1", "fp2", F.coalesce("component", "fp1").alias("root"), F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least")).alias("of"))
