@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.tokens import encoder
 from quire.llm.workspace import fresh_dir, publish, slices
@@ -181,6 +181,10 @@ def _write_shard(folder: str, vocabulary: str, end_id: int, bits: bool):
     return run
 
 
+#: Bytes of text in a shard, about, whatever the number of shuffle partitions.
+SHARD_BYTES = 1 << 28
+
+
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, bits: bool = False) -> list[dict]:
     """Encode whole texts and write them to shards under ``folder``, in ascending doc_id
     order over the shards by name. Returns the manifest: one row for each shard.
@@ -188,7 +192,8 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, bi
     Texts cross one range shuffle; a task encodes and writes its range block by block, and
     its file appears under its name only when complete."""
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = docs.select("doc_id", "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(_write_shard(folder, vocabulary, end_id, bits), "shard bigint, n_docs bigint, n_ids bigint, n_bytes bigint").collect()
     return sorted((r.asDict() for r in rows), key=lambda r: r["shard"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.workspace import stored
+from quire.llm.workspace import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +27,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for each node on an edge (a, b); component is the least node
     reachable. Nulls and self-edges are ignored; an edge may repeat or be reversed.
-    Every round's edges are written to the shared folder."""
+    Every round's edges are written to the shared folder, and those of the round before deleted."""
     now = stored(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
     )
     seen = None
     for _ in range(max_rounds):
-        now = stored(_star(_star(now, large=True), large=False), "edges")
+        last, now = now, stored(_star(_star(now, large=True), large=False), "edges")
+        discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         mark = (mark[0], mark[1])
         if mark == seen:

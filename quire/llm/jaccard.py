@@ -16,10 +16,10 @@ regions that are stored between rounds.
    them measured, and each document goes to the region of its nearest pivot p, and by window to that of any q with
    d(x, q) <= min(d(x, p) + 2 eps, 1 - eps). Documents at 1 - 2 eps or more from every pivot form the outer region,
    with those from 1 - 3 eps on as its window: a close pair meets in the home of one of the two. The ball rule
-   of 2 holds around each pivot. Regions that do not get smaller are cut by a fresh slicing as in 1.
-4. Leaves. Small regions are joined exactly in memory, by pivots and windows again and by one matrix
-   product over patterns of shared shingles; regions still over ``REGION_SHINGLES`` after
-   ``MAX_ROUNDS`` go as tiles of chunk pairs, each a task's work of bounded size.
+   of 2 holds around each pivot. The parts are cut again as long as they are large and have fewer pairs than the whole.
+4. Leaves. Other regions are joined exactly in memory, by pivots and windows again and by one matrix
+   product over patterns of shared shingles; those over ``REGION_SHINGLES`` or ``REGION_DOCS``
+   go as tiles of chunk pairs, each a task's work of bounded size.
 
 Equal sets are one class and compared once. Hot regions are dealt out to many tasks, each with the pivots. Links that add
 nothing to a region's connectivity are not written.
@@ -49,12 +49,14 @@ REGION_DOCS = 2_000
 PART_SHINGLES = 500_000
 PART_DOCS = 250
 #: Documents of a region that is cut into Voronoi regions by a round of its own.
-SPLIT_DOCS = 192
+SPLIT_DOCS = 400
+#: Such a cut is taken back if the parts have more than this share of the region's pairs.
+PAYS = 0.7
 #: Documents that a leaf compares directly instead of through further pivots.
 SMALL = 96
 PIVOTS = 8
 MAX_DEPTH = 5
-MAX_ROUNDS = 6
+MAX_ROUNDS = 5
 #: Largest number of rows of three to five numbers (under 64 MB) that are broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Slicings that a sparse set tries before it sends keys of empty slices too.
@@ -81,7 +83,7 @@ def size_classes(num: int, den: int, most: int = 1 << 26) -> tuple[np.ndarray, n
     return np.array(low), np.array(k), np.array(spare)
 
 
-def cell_keys(values: np.ndarray, num: int, den: int, salt: int = 0) -> np.ndarray:
+def cell_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the cells that a set lies in: one for each slice, in its size class and, as a
     guest, in the class below if that has possible partners. Slices without a shingle give
     no key: a set with at most ``spare`` of them shares some other slice with any partner. A set with more
@@ -99,7 +101,7 @@ def cell_keys(values: np.ndarray, num: int, den: int, salt: int = 0) -> np.ndarr
         if not k:
             continue
         for turn in range(SLICINGS):
-            seed = np.uint64((salt * SLICINGS + turn + 1) * 0x5BD1E995CAFEF00D & 0xFFFFFFFFFFFFFFFF)
+            seed = np.uint64((turn + 1) * 0x5BD1E995CAFEF00D & 0xFFFFFFFFFFFFFFFF)
             at = (mix(values ^ seed) % np.uint64(k)).astype(np.int64)
             total = np.zeros(k, dtype=np.uint64)
             np.add.at(total, at, mix(values + seed))
@@ -199,7 +201,7 @@ def spanning(links: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
     return [(find(x), x) for x in range(m) if find(x) != x]
 
 
-_SIGNED = "doc_id bigint, tie bigint, n_shingles bigint, fp1 bigint, fp2 bigint, cells array<bigint>"
+_SIGNED = "row bigint, doc_id bigint, tie bigint, n_shingles bigint, fp1 bigint, fp2 bigint, cells array<bigint>"
 
 
 def _sign(width: int, num: int, den: int):
@@ -209,6 +211,7 @@ def _sign(width: int, num: int, den: int):
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("row"),
                     batch.column("doc_id").cast(pa.int64()),
                     batch.column("tie"),
                     pa.array([len(s) for s in sets], type=pa.int64()),
@@ -216,7 +219,7 @@ def _sign(width: int, num: int, den: int):
                     pa.array([p[1] for p in prints], type=pa.int64()),
                     ragged([cell_keys(s, num, den).view(np.int64) for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "tie", "n_shingles", "fp1", "fp2", "cells"],
+                names=["row", "doc_id", "tie", "n_shingles", "fp1", "fp2", "cells"],
             )
 
     return run
@@ -300,18 +303,6 @@ def _split(num: int, den: int):
     return run
 
 
-def _recell(num: int, den: int, salt: int):
-    """Cells of a fresh slicing for members of a region."""
-
-    def run(batches):
-        for batch in slices(batches, 500):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("values").to_pylist()]
-            cells = [mix(cell_keys(s, num, den, salt) + np.uint64(r & 0xFFFFFFFFFFFFFFFF)).view(np.int64) for s, r in zip(sets, batch.column("region").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), ragged(cells, pa.int64())], names=["region", "node", "n", "cells"])
-
-    return run
-
-
 def _leaf(num: int, den: int):
     def run(batches):
         a: list[int] = []
@@ -337,9 +328,11 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _shared(cells: DataFrame) -> DataFrame:
-    """(region, node, n) of rows (node, n, cell): the least node of each cell that has two at least, and who lies in a cell with it."""
-    both = cells.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("top")).where("region < top").select("cell", "region")
-    return cells.join(both, "cell").groupBy("region", "node").agg(F.max("n").alias("n"))
+    """(region, node) of rows (node, cell): the least node of each cell that has two at least, and who lies in a cell
+    with it. The rows cross one shuffle, which both the minima and the join with them read."""
+    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    both = dealt.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("top")).where("region < top").select("cell", "region")
+    return dealt.join(both, "cell").select("region", "node").distinct()
 
 
 class _Regions:
@@ -378,13 +371,6 @@ class _Regions:
         pivots = members.groupBy("region", F.pmod(drawn, F.lit(PIVOTS)).alias("k")).agg(F.min_by("node", F.xxhash64("node", F.lit(-1 - turn))).alias("node"))
         return self._run(self._with_pivots(members, pivots), _split(self.num, self.den), _SPLIT, "split")
 
-    def recell(self, members: DataFrame, turn: int) -> DataFrame:
-        """The regions of a fresh slicing inside each region."""
-        rows = self.sets.join(_bounded(members, members.count()), "node").select("region", "node", "values")
-        cells = stored(rows.mapInArrow(_recell(self.num, self.den, turn + 1), "region bigint, node bigint, n bigint, cells array<bigint>"), "recelled").select("region", "node", "n", F.explode("cells").alias("cell"))
-        both = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least < top")
-        return cells.join(both, "cell").select(F.xxhash64("region", "least", F.lit(turn)).alias("region"), "node", "n").distinct()
-
     def leaves(self, members: DataFrame) -> DataFrame:
         """Links (a, b) inside each region; a region of t chunks has a task for each pair of them."""
         dealt = self._chunks(members, REGION_DOCS, REGION_SHINGLES).withColumns({"own": F.pmod(F.xxhash64("node"), "chunks"), "other": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))})
@@ -425,22 +411,22 @@ def _join_regions(members: DataFrame, regions: _Regions, eps: float, log: list |
         docs = stored(now.groupBy("region").agg(F.count("*").alias("docs")).where(F.col("docs") > SPLIT_DOCS), "large")
         if docs.isEmpty():
             break
-        large = stored(now.join(docs, "region"), "members")
-        links.append(regions.leaves(now.join(docs, "region", "left_anti")))
+        large = stored(now.join(docs, "region").select("region", "node", "n"), "members")
         split = regions.split(large, turn)
         links.append(split.where("close").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         apart = split.where("not outer and not close").groupBy("region").agg(F.min("d").alias("least"))
         balls = split.where("not outer").join(apart, "region").where(F.col("d") >= F.col("least") - eps - 1e-9)
         subs = stored(balls.select("parent", "region", "node", "n").unionByName(split.where("outer").select("parent", "region", "node", "n")), "regions")
-        size = subs.groupBy("parent", "region").agg(F.count("*").alias("n_sub")).join(docs.withColumnRenamed("region", "parent"), "parent")
-        stuck = stored(size.where((F.col("n_sub") > SPLIT_DOCS) & (F.col("n_sub") > 0.7 * F.col("docs"))).select("region"), "stuck")
+        parent = docs.withColumnRenamed("region", "parent")
+        pairs = subs.groupBy("parent", "region").agg((F.count("*") * F.count("*")).alias("pairs")).groupBy("parent").agg(F.sum("pairs").alias("pairs"))
+        whole = stored(pairs.join(parent, "parent").where(F.col("pairs") > F.lit(PAYS) * F.col("docs") * F.col("docs")).select(F.col("parent").alias("region")), "whole")
         if log is not None:
-            log.append({"members": large.count(), "routed": split.count(), "left": subs.count(), "stuck": stuck.count()})
-        now = subs.select("region", "node", "n")
-        if not stuck.isEmpty():
-            again = regions.recell(now.join(stuck, "region").select("region", "node"), turn)
-            now = now.join(stuck, "region", "left_anti").unionByName(again)
-        now = stored(now, "members")
+            log.append({"members": large.count(), "routed": split.count(), "left": subs.count(), "whole": whole.count()})
+        done = now.join(docs.join(whole, "region", "left_anti"), "region", "left_anti")
+        links.append(regions.leaves(done))
+        now = stored(subs.join(whole.withColumnRenamed("region", "parent"), "parent", "left_anti").select("region", "node", "n"), "members")
+        if now.isEmpty():
+            return links
     links.append(regions.leaves(now))
     return links
 
@@ -451,14 +437,17 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
     fp1, so a doc_id may have several texts or be null."""
     eps = 1 - num / den
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    signed = stored(picked.mapInArrow(_sign(width, num, den), _SIGNED), "signed")
+    signed = stored(picked.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(width, num, den), _SIGNED), "signed")
     usable = signed.where("n_shingles > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n_shingles", "cells")).alias("r")
-    one = usable.groupBy("fp1", "fp2").agg(first)
-    cells = one.select(F.col("fp1").alias("node"), F.col("r.n_shingles").alias("n"), F.explode("r.cells").alias("cell"))
-    members = stored(_shared(cells), "members")
-    reps = stored(usable.groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("r")).select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.tie").alias("rep_tie")), "reps")
-    met = stored(members.select("node").distinct().join(reps, F.col("node") == reps.fp1).select("node", "rep_id", "rep_tie"), "met")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")).alias("r")
+    reps = usable.groupBy("fp1", "fp2").agg(first, F.first("n_shingles").alias("n"), F.count("*").alias("times"))
+    reps = stored(reps.select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.tie").alias("rep_tie"), F.col("r.row").alias("rep_row"), "n", "times"), "reps")
+    copies = stored(usable.select("fp1", "fp2", "row").join(reps.where("times > 1"), ["fp1", "fp2"]).where("row <> rep_row").select("row"), "copies")
+    once = usable.select("row", F.col("fp1").alias("node"), "cells").join(_bounded(copies, copies.count()), "row", "left_anti")
+    shared = _shared(once.select("node", F.explode("cells").alias("cell")))
+    sizes = reps.select(F.col("fp1").alias("node"), "n", "rep_id", "rep_tie", "rep_row")
+    members = stored(shared.join(sizes.select("node", "n"), "node"), "members")
+    met = stored(members.select("node").distinct().join(sizes, "node").select("node", "rep_id", "rep_tie"), "met")
     n_met = met.count()
     same = lambda rows: rows.doc_id.eqNullSafe(F.col("rep_id")) & (rows.tie == F.col("rep_tie"))
     candidates = picked.join(_bounded(met, n_met), same(picked)).select("node", "text")
@@ -469,6 +458,8 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
     measured = regions.measure(stored(least.select("region", "node", "n"), "least"))
     found = stored(components(measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b"))), "found")
     left = stored(_unresolved(members, measured, found, eps), "open")
+    if log is not None:
+        log.append({"members": members.where("node <> region").count(), "measured": measured.count(), "open": left.count()})
     if not left.isEmpty():
         every = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         for more in _join_regions(left, regions, eps, log):

@@ -4,7 +4,9 @@ Texts are reduced to lower-case letters with single spaces between words. Each r
 3 characters falls into one of 2**16 hash buckets of its order. Bucket counts for each language
 are summed over the training rows, and the smoothed log-probability matrix, languages x
 (3 * 2**16) of 4 bytes, is broadcast; a batch is scored in numpy with one gather for each language
-and order and running sums cut at the documents' ends.
+and order and running sums cut at the documents' ends. Very long texts are scored in pieces that
+overlap, so that memory stays bounded. The language is that of the largest posterior; the score is its posterior
+after the log-posteriors of texts of over ``SCORED_GRAMS`` n-grams are scaled down to so many.
 
 The model is fitted on at most about ``train_rows`` labelled rows (all of them below that),
 picked by a hash of doc_id; every document is scored whole.
@@ -28,10 +30,13 @@ from quire.llm.workspace import slices
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-#: N-grams of a text count as this many independent ones at most, so that scores don't all end at 1.
-INDEPENDENT = 60
+#: The score takes the mean evidence of a text's n-grams this many times at most, so that scores don't all end at 1.
+SCORED_GRAMS = 60
 #: Texts whose characters are held as arrays at once.
 SLICE = 250
+SLICE_TEXT = 1 << 21
+#: Characters of a longer text that are held as arrays at once.
+LONG = 1 << 20
 _STEP = np.uint32(0x9E3779B1)
 _fold: list[np.ndarray] = []
 
@@ -85,9 +90,23 @@ def grams(texts: list[str | None]) -> Grams:
     return Grams(c, start, end, is_letter[end] - is_letter[start])
 
 
-def _text_batches(batches, rows: int = SLICE):
-    for batch in slices(batches, rows):
-        yield batch, grams(batch.column("text").to_pylist())
+def _text_batches(batches):
+    for batch in slices(batches, SLICE, SLICE_TEXT):
+        texts = batch.column("text").to_pylist()
+        yield batch, grams([t if t and len(t) <= LONG else None for t in texts]), {i: t for i, t in enumerate(texts) if t and len(t) > LONG}
+
+
+def long_grams(text: str):
+    """(order's place, buckets, letters) of a text piece by piece: all its n-grams, each once."""
+    tail = np.zeros(0, dtype=np.uint32)  # the folded signs before a piece that n-grams reach back to
+    for at in range(0, len(text), LONG):
+        c = _folding()[np.frombuffer(text[at : at + LONG].replace("\0", " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        before = np.concatenate((tail[-1:] if len(tail) else np.full(1, 32, dtype=np.uint32), c[:-1]))
+        c = c[(c != 32) | (before != 32)]
+        for k, order in enumerate(ORDERS):
+            joined = np.concatenate((tail[len(tail) - min(len(tail), order - 1) :], c))
+            yield k, Grams(joined, None, None, None).buckets(order), int((c != 32).sum()) if k == 0 else 0
+        tail = np.concatenate((tail, c))[-(max(ORDERS) - 1) :]
 
 
 def _count(langs: list[str]):
@@ -96,7 +115,7 @@ def _count(langs: list[str]):
 
     def run(batches):
         total = np.zeros((len(langs), len(ORDERS), BUCKETS), dtype=np.int64)
-        for batch, g in _text_batches(batches):
+        for batch, g, long in _text_batches(batches):
             of = np.array([place[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
             for k, order in enumerate(ORDERS):
                 b = g.buckets(order)
@@ -107,6 +126,9 @@ def _count(langs: list[str]):
                 lang = np.cumsum(edge)[: len(b)] - 1
                 ok = lang >= 0
                 total[:, k] += np.bincount(lang[ok] * BUCKETS + b[ok], minlength=len(langs) * BUCKETS).reshape(len(langs), BUCKETS)
+            for i, text in long.items():
+                for k, b, _ in long_grams(text):
+                    total[of[i], k] += np.bincount(b, minlength=BUCKETS)
         lang, order, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"lang_at": pa.array(lang), "bucket": pa.array(order * BUCKETS + bucket), "n": pa.array(total[lang, order, bucket])})
 
@@ -121,7 +143,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text."""
-        g = grams(texts)
+        g = grams([t if t and len(t) <= LONG else None for t in texts])
         n_docs = len(texts)
         if not self.langs:
             return [UNKNOWN] * n_docs, np.zeros(n_docs)
@@ -135,12 +157,16 @@ class LanguageModel:
             for i in range(len(self.langs)):
                 run = np.concatenate(([0.0], np.cumsum(self.logp[i, k][b], dtype=np.float64)))
                 total[i] += run[last] - run[first]
-        scale = np.minimum(1.0, INDEPENDENT / np.maximum(number, 1))
-        z = self.prior[:, None] + total * scale
-        z -= z.max(axis=0)
-        p = np.exp(z)
+        for d, text in enumerate(texts):
+            if text and len(text) > LONG:
+                for k, b, letters in long_grams(text):
+                    g.letters[d] += letters
+                    number[d] += len(b)
+                    total[:, d] += self.logp[:, k][:, b].sum(axis=1, dtype=np.float64)
+        z = self.prior[:, None] + total
+        best = z.argmax(axis=0)
+        p = np.exp((z - z.max(axis=0)) * np.minimum(1.0, SCORED_GRAMS / np.maximum(number, 1)))
         p /= p.sum(axis=0)
-        best = p.argmax(axis=0)
         some = g.letters > 0
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, p[best, np.arange(n_docs)], 0.0)
 
@@ -173,7 +199,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, SLICE):
+        for batch in slices(batches, SLICE, SLICE_TEXT):
             langs, scores = spread.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -185,7 +211,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least_score: float = 0.5)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, SLICE):
+        for batch in slices(batches, SLICE, SLICE_TEXT):
             langs, scores = spread.value.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores.tolist(), strict=True)]))
 

@@ -24,6 +24,8 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.llm.workspace import stored
+
 #: Documents in a range of keys, about.
 RANGE_DOCS = 4096
 #: Largest number of sources whose row of targets is broadcast (under 100 bytes each).
@@ -61,6 +63,7 @@ def mix_sources(docs: DataFrame, weights: list[int], share: Fraction = Fraction(
     """(doc_id, size, source, source_size, target, taken) of each document; ``taken`` counts the words
     that the mix takes of it, repeats included, and sums to the floor of its source's target. ``tie`` is the text's hash, if asked for."""
     sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/" + seed))).alias("key"), F.xxhash64("text").alias("tie"))
+    sized = stored(sized, "sized")  # texts are read once
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.greatest(F.lit(1), F.ceil(F.count("*") / RANGE_DOCS)).cast("bigint").alias("ranges"))
     targets = source_targets(totals, weights, share, most)
     spread = 1 if (few := totals.count() <= BROADCAST_SOURCES) else 64

@@ -2,7 +2,7 @@
 tree of bin capacities, run independently in randomised groups of documents.
 
 Nulls and edge cases: a null text counts as empty, so its document is the end id alone;
-a null doc_id is kept as null and grouped by its text's length; rows that repeat a doc_id
+a null doc_id is kept as null; rows that repeat a doc_id
 are packed as documents of their own; an empty table gives no pieces; other columns of
 the input are ignored. Ties in length go by doc_id, then start, so reruns agree.
 """
@@ -63,19 +63,19 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def _cut(vocabulary: str, end_id: int, capacity: int):
-    """Encode documents and cut each into pieces of ``capacity`` ids and a remainder."""
+def _cut(vocabulary: str, end_id: int, capacity: int, groups: int):
+    """Encode documents and cut each into pieces of ``capacity`` ids and a remainder, in neighbouring groups."""
 
     def run(batches):
         encode = encoder(vocabulary).encode
         for batch in slices(batches, 1000):
             flat, offsets = encode(batch.column("text").to_pylist())
-            doc_ids, groups = batch.column("doc_id").to_pylist(), batch.column("pack_group").to_pylist()
+            doc_ids, first = batch.column("doc_id").to_pylist(), batch.column("pack_group").to_pylist()
             rows: list[tuple] = []
-            for i, (doc, group) in enumerate(zip(doc_ids, groups, strict=True)):
+            for i, (doc, group) in enumerate(zip(doc_ids, first, strict=True)):
                 ids = np.append(flat[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4").tobytes()
                 total = len(ids) // 4
-                rows += [(doc, s, min(capacity, total - s), total, group, ids[4 * s : 4 * (s + capacity)]) for s in range(0, total, capacity)]
+                rows += [(doc, s, min(capacity, total - s), total, (group + s // capacity) % groups, ids[4 * s : 4 * (s + capacity)]) for s in range(0, total, capacity)]
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "pack_group", "ids"])
@@ -98,16 +98,22 @@ def _pack(capacity: int):
     return run
 
 
+#: Bytes of text in a group, about: some four million ids at most.
+GROUP_BYTES = 1 << 23
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 2048, seed: int = 7) -> DataFrame:
     """Pieces of all documents with their sequence and place in it, and their ids as
     little-endian unsigned 32-bit integers.
 
-    A document's group is a seeded hash of its doc_id, so groups are random, alike in size
-    (about ``group_docs`` documents each) whatever the source or length, and the same in
-    every attempt. Ids cross one shuffle, by group; a task holds one group at a time."""
+    A document's group is a seeded hash of its doc_id and text, so groups are random, alike in size
+    (at most about ``group_docs`` documents and ``GROUP_BYTES`` of text each) whatever the source, and the same in
+    every attempt; the pieces of a long document go to neighbouring groups, so that it swells none.
+    Ids cross one shuffle, by group; a task holds one group at a time."""
     spark = docs.sparkSession
-    groups = max(1, math.ceil(docs.count() / group_docs))
-    picked = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.length("text"), F.lit(-1))), F.lit(groups)).alias("pack_group"))
-    pieces = picked.mapInArrow(_cut(vocabulary, end_id, capacity), _PIECES)
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, math.ceil(n / group_docs), math.ceil((size or 0) / GROUP_BYTES))
+    picked = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)).alias("pack_group"))
+    pieces = picked.mapInArrow(_cut(vocabulary, end_id, capacity, groups), _PIECES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups / 8))
     return pieces.repartition(min(tasks, groups), "pack_group").sortWithinPartitions("pack_group").mapInArrow(_pack(capacity), PACKED)

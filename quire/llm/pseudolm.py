@@ -32,6 +32,8 @@ NONE = CLASSES  # stands beyond either end of a document
 WIDTH, HIDDEN = 12, 32
 REACH = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 2048, 0.08
+#: Sums of weights and logarithms count in units of 1 / UNIT, so that their order does not matter.
+UNIT = 1 << 26
 SHAPES = {"embed": (CLASSES + 1, WIDTH), "w": (len(REACH) * WIDTH, HIDDEN), "b": (HIDDEN,), "high": (HIDDEN, DIGITS), "high_b": (DIGITS,), "given": (DIGITS, HIDDEN), "low": (HIDDEN, DIGITS), "low_b": (DIGITS,)}
 
 
@@ -56,11 +58,6 @@ def unflatten(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
-
-
 def _summed(row: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
     """An array like ``like``: the sum of the values of each row."""
     at = row[:, None] * like.shape[1] + np.arange(like.shape[1])
@@ -78,15 +75,31 @@ def _around(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_probability(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+def _hidden(p: dict, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     e = p["embed"][context].reshape(len(context), -1)
-    h = np.tanh(e @ p["w"] + p["b"])
-    hi, lo = target // DIGITS, target % DIGITS
-    rows = np.arange(len(target))
-    out = np.zeros(len(target))
-    for z, digit in ((h @ p["high"] + p["high_b"], hi), ((h + p["given"][hi]) @ p["low"] + p["low_b"], lo)):
-        top = z.max(axis=1)
-        out += z[rows, digit] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    h = e @ p["w"]
+    h += p["b"]
+    return e, np.tanh(h, out=h)
+
+
+def _exp(z: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logits less their row's greatest, their exponentials), the first in the place of ``z``."""
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    return z, np.exp(z)
+
+
+def log_probability(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    out = np.empty(len(target))
+    for s in range(0, len(target), BATCH):  # what one step holds stays in the cache
+        part = target[s : s + BATCH]
+        _, h = _hidden(p, context[s : s + BATCH])
+        hi, rows = part // DIGITS, np.arange(len(part))
+        z, up = _exp(h @ p["high"], p["high_b"])
+        out[s : s + BATCH] = z[rows, hi] - np.log(up.sum(axis=1))
+        h += p["given"][hi]
+        z, up = _exp(h @ p["low"], p["low_b"])
+        out[s : s + BATCH] += z[rows, part % DIGITS] - np.log(up.sum(axis=1))
     return out
 
 
@@ -99,23 +112,25 @@ class Trainer:
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability."""
-        p, n = self.p, np.float32(len(target))
-        e = p["embed"][context].reshape(len(context), -1)
-        h = np.tanh(e @ p["w"] + p["b"])
-        hi, lo = target // DIGITS, target % DIGITS
-        rows = np.arange(len(target))
-        dz1 = _softmax(h @ p["high"] + p["high_b"])
-        dz1[rows, hi] -= 1
+        p, rows = self.p, np.arange(len(target))
+        e, h = _hidden(p, context)
+        hi = target // DIGITS
         h2 = h + p["given"][hi]
-        dz2 = _softmax(h2 @ p["low"] + p["low_b"])
-        dz2[rows, lo] -= 1
-        dz1 /= n
-        dz2 /= n
+        wrong = []
+        for z, bias, digit in ((h @ p["high"], p["high_b"], hi), (h2 @ p["low"], p["low_b"], target % DIGITS)):
+            _, up = _exp(z, bias)
+            up *= (1 / (len(target) * up.sum(axis=1)))[:, None]
+            up[rows, digit] -= up.dtype.type(1 / len(target))
+            wrong.append(up)
+        dz1, dz2 = wrong
         dh2 = dz2 @ p["low"].T
-        da = (dz1 @ p["high"].T + dh2) * (1 - h * h)
-        given = _summed(hi, dh2, p["given"])
-        embed = _summed(context.reshape(-1), (da @ p["w"].T).reshape(-1, WIDTH), p["embed"])
-        return {"embed": embed, "w": e.T @ da, "b": da.sum(axis=0), "high": h.T @ dz1, "high_b": dz1.sum(axis=0), "given": given, "low": h2.T @ dz2, "low_b": dz2.sum(axis=0)}
+        da = dz1 @ p["high"].T
+        da += dh2
+        out = {"high": h.T @ dz1, "high_b": dz1.sum(axis=0), "given": _summed(hi, dh2, p["given"]), "low": h2.T @ dz2, "low_b": dz2.sum(axis=0)}
+        h *= h
+        da *= np.subtract(1, h, out=h)
+        out["embed"] = _summed(context.reshape(-1), (da @ p["w"].T).reshape(-1, WIDTH), p["embed"])
+        return out | {"w": e.T @ da, "b": da.sum(axis=0)}
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         for k, g in self.gradients(context, target).items():
@@ -141,7 +156,7 @@ def _counts(batches):
 
 
 def _parameters(start: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, turn: int):
-    """(slot, weighted value, weight) of a partition's trained parameters."""
+    """(slot, value in units of 1 / UNIT, weight) of a partition's trained parameters."""
 
     def run(batches):
         trainer, tokens = Trainer(unflatten(start)), 0
@@ -167,8 +182,8 @@ def _parameters(start: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, tur
             if held and len(held[0][1]):
                 context, target = (np.concatenate(c) for c in zip(*held, strict=True))
                 trainer.step(context, target)
-            v = flatten(trainer.p).astype(np.float64)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(len(v))), "value": pa.array(v * tokens), "weight": pa.array(np.full(len(v), float(tokens)))})
+            v = np.rint(flatten(trainer.p).astype(np.float64) * UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(len(v))), "value": pa.array(v), "weight": pa.array(np.full(len(v), tokens))})
 
     return run
 
@@ -203,10 +218,12 @@ def train(docs: DataFrame) -> Model:
         sizes[r["class"]] += r["n"]
     now = flatten(initial())
     for turn in range(ROUNDS):
-        got = texts.mapInArrow(_parameters(now, vocabulary, rank, turn), "slot bigint, value double, weight double").groupBy("slot").agg((F.sum("value") / F.sum("weight")).alias("v")).toArrow()
+        got = texts.mapInArrow(_parameters(now, vocabulary, rank, turn), "slot bigint, value bigint, weight bigint")
+        whole = F.sum(F.col("value").cast("decimal(20,0)") * F.col("weight").cast("decimal(18,0)"))  # exact in any order
+        got = got.groupBy("slot").agg((whole.cast("double") / F.sum("weight")).alias("v")).toArrow()
         if got.num_rows:
             now = now.copy()
-            now[got.column("slot").to_numpy()] = got.column("v").to_numpy()
+            now[got.column("slot").to_numpy()] = got.column("v").to_numpy() / UNIT
     return now, vocabulary, rank, sizes, counts
 
 
@@ -257,7 +274,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     numbered = docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text")
     parts = numbered.mapInArrow(run, "number bigint, doc_id bigint, n_tokens bigint, part double, word bigint, times bigint")
-    inside = F.col("times") * F.log(F.coalesce("n", F.lit(0)) + F.lit(1.0))
-    scored = parts.join(counts, "word", "left").groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("part") + F.sum(inside)).alias("score"))
+    inside = F.round(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + F.lit(1.0)) * F.lit(float(UNIT))).cast("bigint")  # sums alike in any order
+    scored = parts.join(counts, "word", "left").groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("part") + F.sum(inside) / F.lit(float(UNIT))).alias("score"))
     mean = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "score", mean.alias("mean_score"))

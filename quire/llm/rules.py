@@ -35,6 +35,8 @@ _UPPER[65:91] = True
 _ALPHA = _UPPER.copy()
 _ALPHA[97:123] = True
 BAD, ABSTAIN, GOOD = 0, 1, 2
+#: Distinct words are counted in runs of so many words.
+VARIETY_WORDS = 100
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: (numerator, denominator, good from, good to, bad below, bad above): a rule abstains between.
 RULES = {
@@ -84,7 +86,8 @@ def features(texts: list[str | None]) -> dict[str, np.ndarray]:
             often = (np.bincount(code[same_doc], minlength=len(names))[code] >= 2) & same_doc
             for k in range(3):
                 repeated[k : k + len(three)] |= often
-        code, names = pd.factorize(mix(w.hash + mix(word_doc.astype(np.uint64))))
+        run = (np.arange(len(word_doc)) - w.first[:-1][word_doc]) // VARIETY_WORDS  # so that the measure does not fall with length
+        code, names = pd.factorize(mix(w.hash + mix(word_doc.astype(np.uint64) + (run.astype(np.uint64) << np.uint64(32)))))
         seen_first = np.zeros(len(names), dtype=np.int64)
         seen_first[code[::-1]] = word_doc[::-1]
         signs = np.concatenate(([0], np.cumsum(_SYMBOL[d], dtype=np.int64)))

@@ -24,6 +24,8 @@ from quire.llm.textvec import blocks, mix, running_hash
 
 #: Distinct runs that a worker remembers before it starts afresh (about 40 bytes each).
 REMEMBER = 1_000_000
+#: Bytes of text, about, that one call encodes with some 100 bytes of arrays each.
+ENCODE_BYTES = 1 << 18
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 #: Bytes that may stand in white space other than a space or a line feed.
 _MAYBE_SPACE = np.zeros(256, dtype=bool)
@@ -78,7 +80,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, n + 1 offsets); a null is an empty text."""
         parts, sizes = [], []
-        for first, encoded in blocks(texts, 1 << 20):
+        for first, encoded in blocks(texts, ENCODE_BYTES):
             odd = self._odd(encoded)
             ids, count = self._block([b"" if i in odd else b for i, b in enumerate(encoded)] if odd else encoded)
             if odd:

@@ -230,7 +230,11 @@ def write_archives(pages: DataFrame, folder: str) -> list[dict]:
     keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
     again = keyed.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("times")).where("times > 1").drop("times")
     few = again.count() <= BROADCAST_DIGESTS
-    marked = keyed.join(F.broadcast(again) if few else again, "digest", "left")
+    if few:
+        marked = keyed.join(F.broadcast(again), "digest", "left")
+    else:  # small pages take no part, so their few digests are no hot keys; Spark splits those of popular pages
+        large, small = keyed.where(F.col("size") >= LEAST_REVISIT), keyed.where(F.col("size") < LEAST_REVISIT)
+        marked = large.join(again, "digest", "left").unionByName(small.withColumn("winner", F.lit(None).cast("bigint")))
     marked = marked.withColumn("refers_to", F.when((F.col("size") >= LEAST_REVISIT) & F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner")))
     chosen = marked.select("page_id", "url", "html", "digest", "refers_to")
     if not few:  # a shuffled partition's order must not differ between attempts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,14 +12,19 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Bytes of a record batch that a kernel gets at once, about.
+SLICE_BYTES = 1 << 23
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The URI in ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """The URI in ``spark.checkpoint.dir``. Where that is unset, a local folder, which only a local master
+    can use; on a cluster that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="quire-")
@@ -40,7 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     uri = f"{fresh_dir(spark, name)}/table"
     df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    out = spark.read.schema(df.schema).parquet(uri)
+    out._stored_in = uri
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these tables, when nothing reads them any more."""
+    for df in tables:
+        system, path = fs.FileSystem.from_uri(df._stored_in.removesuffix("/table"))
+        system.delete_dir(path)
 
 
 def publish(system: fs.FileSystem, path: str, write) -> None:
@@ -49,7 +64,12 @@ def publish(system: fs.FileSystem, path: str, write) -> None:
     attempt = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(attempt) as out:
         write(out)
-    system.move(attempt, path)
+    try:
+        system.move(attempt, path)
+    except OSError:  # some file systems refuse to replace what another attempt has finished
+        if system.get_file_info(path).type != fs.FileType.File:
+            raise
+        system.delete_file(attempt)
 
 
 def ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -60,11 +80,31 @@ def ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
-def slices(batches, rows: int):
-    """Record batches of at most ``rows`` rows."""
+def slices(batches, rows: int, limit: int = SLICE_BYTES):
+    """Record batches of at most ``rows`` rows and ``limit`` bytes, a longer row alone. At
+    the end of the input the worker gives free memory back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halved(batch.slice(at, rows), limit)
+    release()
+
+
+def _halved(batch: pa.RecordBatch, limit: int):
+    if batch.num_rows <= 1 or batch.nbytes <= limit:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _halved(batch.slice(0, half), limit)
+        yield from _halved(batch.slice(half), limit)
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def runs(batches, keys: list[str]):

@@ -145,7 +145,7 @@ def test_jaccard(spark, docs, empty, monkeypatch, width, num, den):
     rows = near_copies()
     monkeypatch.setattr(jaccard, "SMALL", 6)
     if num != 90:  # rounds of pivots, parts and tiles of hot regions
-        for name, value in (("SPLIT_DOCS", 4), ("PIVOTS", 2), ("MAX_ROUNDS", 2 if num == 80 else 4), ("REGION_DOCS", 5), ("PART_DOCS", 3), ("BROADCAST_ROWS", 5)):
+        for name, value in (("SPLIT_DOCS", 4), ("PIVOTS", 2), ("MAX_ROUNDS", 2 if num == 80 else 4), ("PAYS", 9.0 if num == 80 else 0.7), ("REGION_DOCS", 5), ("PART_DOCS", 3), ("BROADCAST_ROWS", 5)):
             monkeypatch.setattr(jaccard, name, value)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), width, num, den).toPandas()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_components(rows, width, num, den)
@@ -200,9 +200,25 @@ def test_windows_decide_at_the_default_settings(spark):
     plain, classes = jaccard._linked(table, 3, 90, 100, log)
     got = plain.join(classes, ["fp1", "fp2"]).toPandas()
     assert {r.doc_id: (r.n_shingles, r.of) for r in got.itertuples()} == brute_components(rows, 3, 90, 100)
-    first = log[0]
-    # documents stand in their home and in windows, balls drop what is connected, and far regions take no part
-    assert first["members"] < first["routed"] < first["members"] * jaccard.PIVOTS and first["left"] < first["routed"]
+    # distances to pivots settle most of the regions; windows leave the rest to the leaves
+    assert 0 < log[0]["open"] < log[0]["members"] / 2 and log[0]["measured"] < log[0]["members"]
+
+
+def test_voronoi_round_routes_by_windows():
+    """Every close pair meets in the home of one of the two, and most routes are closed."""
+    sets = [np.unique(np.array([hash(s) & 0xFFFFFFFF for s in shingle_set(t, 3)], dtype=np.uint64)) for _, t in families()]
+    pivots = list(range(0, 400, 50))
+    part = {"region": [7] * (len(sets) + 8), "part": [0] * (len(sets) + 8), "pivot": [False] * len(sets) + [True] * 8, "node": [*range(len(sets)), *pivots], "values": [x.tobytes() for x in [*sets, *(sets[p] for p in pivots)]]}
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(part.values(), kinds, strict=True)], names=list(part))
+    out = pa.Table.from_batches(jaccard._split(90, 100)([batch])).to_pylist()
+    into = {}
+    for r in out:
+        into.setdefault(r["node"], set()).add(r["region"])
+    assert len(out) < 3 * len(sets) and any(r["outer"] for r in out) and any(len(x) > 1 for x in into.values())
+    common, size = jaccard.intersections(sets), np.array([len(s) for s in sets])
+    i, j = np.nonzero(np.triu(100 * common >= 90 * (size[:, None] + size[None] - common), 1))
+    assert len(i) > 1000 and all(into[a] & into[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
 
 
 def test_sparse_sets_meet_in_no_cell_by_their_empty_slices():
@@ -233,6 +249,46 @@ def test_language(spark, docs, empty):
     assert langid.keep_known(docs, model, 0.0).columns == docs.columns
 
 
+def test_language_of_pieces_is_that_of_the_whole(spark, monkeypatch):
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = [r[1] for r in awkward()] + ["  Ab1 \n" * 30, "é" * 50, " ", "a"]
+    langs, scores = model.predict(texts)
+    counted = langid.grams(texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(langid, "LONG", size)
+        again, other = model.predict(texts)
+        assert again == langs and np.allclose(scores, other)
+    for i, t in enumerate(texts):
+        if t:
+            span = counted.chars[counted.start[i] : counted.end[i]]
+            want = [Counter(langid.Grams(span, None, None, None).buckets(k).tolist()) for k in langid.ORDERS]
+            got = [Counter() for _ in langid.ORDERS]
+            for k, b, _ in langid.long_grams(t):
+                got[k].update(b.tolist())
+            assert got == want
+
+
+def test_language_is_naive_bayes(spark):
+    """Counts, probabilities and the choice against a plain reading."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("das ist ein Haus", "de"), ("this is a house", "en"), ("Das Boot, das!", "de"), ("a boat is", "en")] * 6)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    plain = lambda t: re.sub(r"[^a-z]+", " ", t.lower()).lstrip()
+    bucket = lambda g: int(langid.Grams(np.array([ord(c) for c in g], dtype=np.uint32), None, None, None).buckets(len(g))[0])
+    for text in ("ein Boot", "is a boat house", "x"):
+        total = {}
+        for lang in ("de", "en"):
+            total[lang] = math.log(sum(r[2] == lang for r in learnt) / len(learnt))
+            for order in langid.ORDERS:
+                n = Counter(bucket(p[k : k + order]) for r in learnt if r[2] == lang for p in [plain(r[1])] for k in range(len(p) - order + 1))
+                p = plain(text)
+                total[lang] += sum(math.log((n[bucket(p[k : k + order])] + 0.5) / (sum(n.values()) + 0.5 * langid.BUCKETS)) for k in range(len(p) - order + 1))
+        (got,), (score,) = model.predict([text])
+        assert got == max(total, key=total.get)
+        if 3 * len(plain(text)) - 3 <= langid.SCORED_GRAMS:
+            assert math.isclose(score, 1 / (1 + math.exp(min(total.values()) - max(total.values()))), rel_tol=1e-4)
+
+
 def mix_reference(rows, weights, share, most):
     sizes = {}
     for r in rows:
@@ -250,7 +306,9 @@ def mix_reference(rows, weights, share, most):
     return sizes, target
 
 
-def test_mixing(spark, docs, empty, monkeypatch):
+@pytest.mark.parametrize("sources", [0, 1 << 20])
+def test_mixing(spark, docs, empty, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
     monkeypatch.setattr(mixing, "RANGE_DOCS", 3)
     got = mixing.mix_sources(docs, [3, 1, 2]).toPandas()
     sizes, target = mix_reference(awkward(), [3, 1, 2], Fraction(3, 2), 2)
@@ -290,7 +348,9 @@ def pages_fixture():
     return [(1, "http://www.B.example/x?q=1#f", big), (2, "https://a.example:8080/", big), (5, None, big), (None, "http://a.example/", big), (3, "http://a.example/\r\nX: y", "small"), (4, "", None), (5, "http://a.example/", big), (6, "http://[bad", "small")]
 
 
-def test_warc(spark, monkeypatch):
+@pytest.mark.parametrize("digests", [0, 1 << 20])
+def test_warc(spark, monkeypatch, digests):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", digests)
     monkeypatch.setattr(warc, "FAN_IN", 2)
     monkeypatch.setattr(warc, "SPARSE", 2)
     pages = spark.createDataFrame(pages_fixture(), "page_id bigint, url string, html string").repartition(5)
