@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.components import components
 from quire.llm.textvec import fingerprint, mix, shingle_sets
-from quire.llm.workspace import ragged, runs, slices, stored
+from quire.llm.workspace import discard, ragged, runs, slices, stored
 
 #: Shingles and documents of a region, or of a chunk of one, that one task joins at once.
 REGION_SHINGLES = 2_000_000
@@ -438,22 +438,25 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
     eps = 1 - num / den
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     signed = stored(picked.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(width, num, den), _SIGNED), "signed")
-    usable = signed.where("n_shingles > 0")
+    plain = stored(signed.drop("cells"), "plain")
+    usable = plain.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")).alias("r")
     reps = usable.groupBy("fp1", "fp2").agg(first, F.first("n_shingles").alias("n"), F.count("*").alias("times"))
     reps = stored(reps.select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.tie").alias("rep_tie"), F.col("r.row").alias("rep_row"), "n", "times"), "reps")
     copies = stored(usable.select("fp1", "fp2", "row").join(reps.where("times > 1"), ["fp1", "fp2"]).where("row <> rep_row").select("row"), "copies")
-    once = usable.select("row", F.col("fp1").alias("node"), "cells").join(_bounded(copies, copies.count()), "row", "left_anti")
+    once = signed.where("n_shingles > 0").select("row", F.col("fp1").alias("node"), "cells").join(_bounded(copies, copies.count()), "row", "left_anti")
     shared = _shared(once.select("node", F.explode("cells").alias("cell")))
     sizes = reps.select(F.col("fp1").alias("node"), "n", "rep_id", "rep_tie", "rep_row")
     members = stored(shared.join(sizes.select("node", "n"), "node"), "members")
+    discard(signed, copies)
     met = stored(members.select("node").distinct().join(sizes, "node").select("node", "rep_id", "rep_tie"), "met")
     n_met = met.count()
     same = lambda rows: rows.doc_id.eqNullSafe(F.col("rep_id")) & (rows.tie == F.col("rep_tie"))
     candidates = picked.join(_bounded(met, n_met), same(picked)).select("node", "text")
     if usable.select("doc_id", "tie").join(_bounded(met, n_met), same(usable)).count() > n_met:  # rows that repeat
         candidates = candidates.dropDuplicates(["node"])
-    regions = _Regions(stored(candidates.mapInArrow(_sets(width), "node bigint, values binary"), "sets"), num, den)
+    sets = stored(candidates.mapInArrow(_sets(width), "node bigint, values binary"), "sets")
+    regions = _Regions(sets, num, den)
     least = members.groupBy("node").agg(F.min("region").alias("region"), F.max("n").alias("n")).where("region <> node")
     measured = regions.measure(stored(least.select("region", "node", "n"), "least"))
     found = stored(components(measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b"))), "found")
@@ -465,10 +468,11 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
         for more in _join_regions(left, regions, eps, log):
             every = every.unionByName(more)
         found = stored(components(every), "found")
+    discard(sets, members, met, measured, left)
     linked = found.join(reps, found.node == reps.fp1)
     named = linked.groupBy("component").agg(F.min("rep_id").alias("least")).join(found, "component").select("node", "component", "least")
     classes = reps.join(named, reps.fp1 == named.node, "left").select("fp1", "fp2", F.coalesce("component", "fp1").alias("root"), F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least")).alias("of"))
-    return signed.select("doc_id", "tie", "n_shingles", "fp1", "fp2"), classes
+    return plain.select("doc_id", "tie", "n_shingles", "fp1", "fp2"), classes
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:

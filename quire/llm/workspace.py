@@ -52,10 +52,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete what ``stored`` wrote for these tables, when nothing reads them any more."""
+    """Delete what ``stored`` wrote for these tables, when nothing reads them any more. The driver's JVM collects
+    garbage, after which Spark removes the shuffle files of plans that are gone."""
     for df in tables:
         system, path = fs.FileSystem.from_uri(df._stored_in.removesuffix("/table"))
         system.delete_dir(path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def publish(system: fs.FileSystem, path: str, write) -> None:
