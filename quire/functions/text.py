@@ -1,11 +1,12 @@
 """Scalar text operators as SQL expressions of a dialect ``d``.
 
-White space is the ASCII class; NBSP and other spaces are mapped first where a rule says so.
+White space is that of Unicode: both engines get the code points themselves, as their own classes differ.
 """
 
 from __future__ import annotations
 
-WS = r"[ \t\n\r\f]"
+SPACES = r" \t\n\r\f\x0B\x1c-\x1f" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WS = f"[{SPACES}]"
 #: Roman numerals as page numbers, and number tokens around a running header.
 ROMAN = r"M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})"
 LEADING_NUMBER = r"(?i)^\s*([ivxlcdm]{1,7}|[0-9]{1,4})\b[\s|:.\-–—]*"
@@ -18,7 +19,7 @@ ENDINGS = r"[.!?:;…]$"
 
 
 def strip(d, x):
-    return d.replace(x, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+    return d.replace(x, f"^{WS}+|{WS}+$", "")
 
 
 def normalise(d, x):
@@ -42,7 +43,7 @@ def letters(d, x):
 
 
 def n_words(d, x):
-    return d.count(x, r"[^ \t\n\r\f]+")
+    return d.count(x, f"[^{SPACES}]+")
 
 
 def join_hyphen(d, a, b):
@@ -50,7 +51,8 @@ def join_hyphen(d, a, b):
     return f"case when {a} like '%-' and {a} not like '%--' then concat(substring({a}, 1, length({a}) - 1), {b}) else concat({a}, ' ', {b}) end"
 
 
-HYPHEN_GAP = r"([A-Za-zÀ-ÖØ-öø-ÿ])-[ \t\n\r\f]+([A-Za-zÀ-ÖØ-öø-ÿ])"
+#: Fixed value: a word broken by a hyphen and white space.
+HYPHEN_GAP = rf"([A-Za-zÀ-ÖØ-öø-ÿ])-{WS}+([A-Za-zÀ-ÖØ-öø-ÿ])"
 
 
 def close_hyphens(d, x):
@@ -60,7 +62,7 @@ def close_hyphens(d, x):
 
 def file_name(d, x):
     """a title as a file name of at most 120 characters."""
-    clean = d.replace(d.replace(x, r'[<>:"/\\|?*\x00-\x1f]', ""), r"[ \t\n\r\f]+", " ")
+    clean = d.replace(d.replace(x, r'[<>:"/\\|?*\x00-\x1f]', ""), f"{WS}+", " ")
     edge = lambda s: d.replace(s, r'^[ ".]+|[ ".]+$', "")
     return edge(f"substring({edge(clean)}, 1, 120)")
 
@@ -92,16 +94,17 @@ def is_note(d, x):
 
 def is_unfinished(d, x):
     """P5: a paragraph that stops within a sentence."""
-    t = d.replace(x, r"""[ \t\n\r\f]*["')\]»”’]*[ \t\n\r\f]*$""", "")
+    t = d.replace(x, rf"""{WS}*["')\]»”’]*{WS}*$""", "")
     return f"(case when {t} = '' then false when {t} like '%-' and {t} not like '%--' then true when {d.like(t, ENDINGS)} then false else {n_words(d, t)} > 12 end)"
 
 
 def is_continuation(d, x):
     """A paragraph that takes up a sentence."""
-    t = d.replace(x, r"^[ \t\n\r\f]+", "")
+    t = d.replace(x, f"^{WS}+", "")
     return f"({d.like(t, r'^\p{Ll}')} or {d.like(t, r'^[)\]»]')} or ({d.like(t, '^[0-9]')} and {n_words(d, t)} > 12))"
 
 
+#: Fixed value: blocks of figures and signs only.
 IGNORABLE = r"^[\s0-9.,;:|·•\-–—()\[\]ivxlcdmIVXLCDM]{0,12}$"
 
 
@@ -141,8 +144,8 @@ def swiss(d, x):
 
 def final_period(d, out, source):
     """no closing full stop that the source does not have."""
-    s = d.replace(source, r"[ \t\n\r\f]+$", "")
-    t = d.replace(out, r"[ \t\n\r\f]+$", "")
+    s = d.replace(source, f"{WS}+$", "")
+    t = d.replace(out, f"{WS}+$", "")
     return f"case when {s} <> '' and not {d.like(s, '[.!?…:;]$')} and {t} like '%.' and {t} not like '%..' then concat(substring({t}, 1, length({t}) - 1), substring({out}, length({t}) + 1)) else {out} end"
 
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import geometry as g, kernels as k, protect as p, running as r
+from quire.operators import geometry as g, kernels as k, pages, protect as p, running as r
 from quire.plans import catalog
 
 
@@ -20,10 +20,36 @@ def _each(docs: DataFrame, f, kind: str) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(lambda s: pd.Series([f(x) for x in s.fillna("")]), kind)("text").alias("out"))
 
 
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document a page of its source's book, with a running header above it."""
+    from pyspark.sql import Window
+
+    docs = _docs(spark, sf_dir)
+    at = docs.select("doc_id", F.col("source").alias("book"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("page_index"))
+    header = F.concat((F.col("page_index") + 1).cast("string"), F.lit("   RUNNING "), F.coalesce("book", F.lit("")), F.lit("\n"))
+    return docs.select("doc_id", "text").join(at, "doc_id").select("book", "page_index", F.concat(header, F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def pages_j5_merged_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1 in full: exact groups in the engine, then greedy merging of each book's."""
-    groups = catalog.queries()["pages_a1_header_groups"](spark, sf_dir)
-    return k.merge_headers(groups.where("header <> '#'").select("book", "header", "n"))
+    """A1, J5 in full: exact groups in the engine, greedy merging of each book's, then the threshold."""
+    groups, _ = pages.running_headers(pages.page_lines(_paged(spark, sf_dir)))
+    return groups
+
+
+def pages_c1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.clean_pages(_paged(spark, sf_dir))
+
+
+def flow_c2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.repair_flow(_paged(spark, sf_dir))
+
+
+def seg_a21_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.segment_flow(_docs(spark, sf_dir))
+
+
+def md_k5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.markdown_html(_docs(spark, sf_dir))
 
 
 def markers_a3_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +133,7 @@ def md_c7_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _books(spark, sf_dir).select("book", seen("text").alias("headers"))
 
 
-QUERIES = {f.__name__: f for f in (pages_j5_merged_headers, markers_a3_strip, flow_j8_stitch, para_a23_split, seg_a20_word_budget, stream_r3_ewma, prot_c16_transform, geo_s6_regions, geo_c9_verdict, md_c5_clean, md_c7_preview)}
+QUERIES = {f.__name__: f for f in (pages_j5_merged_headers, pages_c1_clean, flow_c2_repair, seg_a21_flow, md_k5_html, markers_a3_strip, flow_j8_stitch, para_a23_split, seg_a20_word_budget, stream_r3_ewma, prot_c16_transform, geo_s6_regions, geo_c9_verdict, md_c5_clean, md_c7_preview)}
 
 #: A running mean by its closed form over each user's ordered values.
 ORACLES = {
