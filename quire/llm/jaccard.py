@@ -462,7 +462,7 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
     found = stored(components(measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b"))), "found")
     left = stored(_unresolved(members, measured, found, eps), "open")
     if log is not None:
-        log.append({"members": members.where("node <> region").count(), "measured": measured.count(), "open": left.count()})
+        log.append({"members": members.count(), "measured": measured.count(), "open": left.count()})
     if not left.isEmpty():
         every = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         for more in _join_regions(left, regions, eps, log):
