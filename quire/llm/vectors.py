@@ -193,8 +193,8 @@ def vector_links(vectors: DataFrame, cosine: float) -> DataFrame:
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0)
     marked = picked.withColumn("usable", F.coalesce(usable, F.lit(False)))
     keyed = marked.withColumns({"f1": F.when(F.col("usable"), F.xxhash64(F.lit(1), "e")), "f2": F.when(F.col("usable"), F.xxhash64(F.lit(2), "e"))})
-    classes = keyed.where("usable").groupBy("label", "f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("e").alias("e"))
-    classes = stored(classes, "classes")
+    classes = keyed.where("usable").groupBy("label", "f1", "f2").agg(F.min("vec_id").alias("vec"), F.count("*").alias("w"), F.first("e").alias("e"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a class has a number of its own, as a vec_id may repeat
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     cut_dims = min(BLOCK_DIMS, max(1, math.ceil(math.log(max(1, most / CELL_AIM), 4))))
     kind = dict(classes.dtypes)["e"]
@@ -208,8 +208,9 @@ def vector_links(vectors: DataFrame, cosine: float) -> DataFrame:
     found = stored(tiled.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(cosine), "rep bigint, links bigint, to bigint"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     tied = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    known = classes.select("label", "f1", "f2", "rep", "w").join(links, "rep", "left").join(tied, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("of"))
+    known = classes.select("label", "f1", "f2", "rep", "vec", "w").join(links, "rep", "left").join(tied, F.col("rep") == F.col("node"), "left")
+    least = known.where("component is not null").groupBy("component").agg(F.min("vec").alias("least"))
+    known = known.join(least, "component", "left").select("label", "f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("least", "vec").alias("of"))
     out = keyed.select("vec_id", "label", "f1", "f2").join(known, ["label", "f1", "f2"], "left")
     component = F.coalesce("of", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -407,6 +407,14 @@ def test_vectors(spark, monkeypatch, cell_rows):
     assert vectors.vector_links(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int"), 0.98).count() == 0
 
 
+def test_vectors_of_a_repeated_id_are_judged_by_themselves(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = rng.standard_normal((3, 32))
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, (a + 0.001).tolist(), 0), (5, c.tolist(), 0), (1, c.tolist(), 1), (9, (c * 2).tolist(), 1), (9, (c * 2).tolist(), 1)]
+    got = Counter(tuple(r) for r in vectors.vector_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), 0.98).collect())
+    assert got == Counter([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (5, 0, 5, True), (1, 2, 1, True), (9, 2, 1, False), (9, 2, 1, False)])
+
+
 def test_site_quality(spark, docs, empty):
     table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     from pyspark.sql import functions as F
