@@ -11,9 +11,12 @@ which are verified by their exact cosine in double precision. A pair found in se
 first that has it, which both vectors tell, so pairs are counted where they are found and never
 written or shuffled.
 
+Within a cell the range join goes on by halving: a set is halved at the median of its widest dimension, and
+of two sets only rows nearer than the block's share to the other's bounding box stay, until few pairs are left to
+compare. So unlike vectors of a cell are mostly told apart by boxes; like ones are compared, as every link counts.
+
 Equal vectors of a label are one class with a weight. A cell of over ``CELL_ROWS`` is cut into
-tiles of chunk pairs, so that no task holds a whole hot cell; its number of comparisons is that of
-its pairs, as every link counts.
+tiles of chunk pairs, so that no task holds a whole hot cell.
 
 Nulls and edge cases: rows whose label or vec_id is null, or whose vector is null, empty, zero, or holds
 null or non-finite components, link with nothing (n_links 0, own component; a null vec_id has a
@@ -28,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.components import components
@@ -41,6 +45,10 @@ CELL_REACH = 4.0
 CELL_ROWS = 4_000
 #: Vectors that share a cell, about, which sets how many dimensions are cut.
 CELL_AIM = 400
+#: Pairs of rows that are compared at once; above it sets are halved.
+LEAF_PAIRS = 1 << 14
+#: Candidates that are verified at once.
+VERIFY = 50_000
 SLACK = 1e-9
 
 
@@ -63,17 +71,80 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows, without a Python object per element."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _outside(points: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Squared distances of points to the bounding box of others."""
+    gap = np.maximum(np.maximum(box.min(axis=0) - points, points - box.max(axis=0)), 0)
+    return np.einsum("ij,ij->i", gap, gap)
+
+
+def near_pairs(p: np.ndarray, left: np.ndarray, right: np.ndarray | None, limit: float):
+    """(i, j) arrays of rows of ``p`` within the squared distance ``limit``, one of ``left`` and one of ``right``
+    or, where that is None, two of ``left``; each pair once, in pieces of at most about ``LEAF_PAIRS``."""
+    todo = [(left, right)]
+    while todo:
+        a, b = todo.pop()
+        if b is None:
+            if len(a) * len(a) > LEAF_PAIRS:
+                c, d = _halve(p, a)
+                todo += [(c, None), (d, None), (c, d)]
+                continue
+            b = a
+        else:
+            b = b[_outside(p[b], p[a]) <= limit] if len(a) else a
+            a = a[_outside(p[a], p[b]) <= limit] if len(b) else b
+            if not len(a):
+                continue
+            if len(a) * len(b) > LEAF_PAIRS:
+                more, other = (a, b) if len(a) >= len(b) else (b, a)
+                todo += [(half, other) for half in _halve(p, more)]
+                continue
+        u, v = p[a], p[b]
+        apart = np.einsum("ij,ij->i", u, u)[:, None] + np.einsum("ij,ij->i", v, v)[None, :] - 2 * (u @ v.T)
+        i, j = np.nonzero(apart <= limit)
+        if a is b:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            yield a[i], b[j]
+
+
+def _halve(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows below and above the median of their widest dimension; equal ones may stand on either side."""
+    at = p[rows]
+    widest = int(np.argmax(at.max(axis=0) - at.min(axis=0)))
+    order = np.argpartition(at[:, widest], len(rows) // 2)
+    return rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]
+
+
+def _pooled(pairs, least: int):
+    """The same pairs in fewer pieces."""
+    held, n = [], 0
+    for piece in pairs:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= least:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _cells(cosine: float, cut_dims: int):
     """(block, cell, home) rows of each vector."""
     budget = 2 - 2 * cosine
 
     def run(batches):
         for batch in slices(batches, 1000):
-            lengths = np.array([len(x) for x in batch.column("e").to_pylist()])
+            lengths = pc.list_value_length(batch.column("e")).to_numpy()
             for dims in np.unique(lengths).tolist():
                 of = np.flatnonzero(lengths == dims)
                 part = batch.take(pa.array(of))
-                y = unit(np.array(part.column("e").to_pylist())) @ rotation(dims)
+                y = unit(_matrix(part.column("e"))) @ rotation(dims)
                 label = part.column("label").to_numpy().astype(np.int64).view(np.uint64)
                 source, block, cell, home = [], [], [], []
                 for b, (lo, hi) in enumerate(block_spans(dims)):
@@ -135,41 +206,31 @@ def _compare(cosine: float):
         for (block, _, tile, chunks), table in runs(batches, ["block", "cell", "tile", "chunks"]):
             ids, weight = table.column("rep").to_numpy(), table.column("w").to_numpy()
             home, chunk = table.column("home").to_numpy(zero_copy_only=False), table.column("chunk").to_numpy()
-            x = unit(np.array(table.column("e").to_pylist()))
+            x = unit(_matrix(table.column("e")))
             n, dims = x.shape
             low, high = tile // chunks, tile % chunks
             y = x @ rotation(dims)
             spans = block_spans(dims)
             share = [budget * (b - a) / dims + SLACK for a, b in spans]
             lo, hi = spans[block]
-            norm = (y[:, lo:hi] ** 2).sum(axis=1)
             left = np.flatnonzero(chunk == low)
-            right = np.flatnonzero(chunk == high)
+            right = None if low == high else np.flatnonzero(chunk == high)
             found_i, found_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             links = np.zeros(n, dtype=np.int64)
-            for at in range(0, len(left), 512):
-                a = left[at : at + 512]
-                near = norm[a][:, None] + norm[right][None, :] - 2 * (y[a, lo:hi] @ y[right, lo:hi].T) <= share[block] + SLACK
-                near &= home[a][:, None] | home[right][None, :]
-                p, q = np.nonzero(near)
-                i, j = a[p], right[q]
-                once = (i < j) if low == high else np.ones(len(i), dtype=bool)
-                i, j = i[once], j[once]
-                keep = []
-                for s in range(0, len(i), 100_000):
-                    u, v = i[s : s + 100_000], j[s : s + 100_000]
-                    ok = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
-                    u, v = u[ok], v[ok]
-                    gap = (y[u] - y[v]) ** 2
-                    new = np.ones(len(u), dtype=bool)
-                    for k in range(block):  # a pair within an earlier block's share counts there
-                        new &= gap[:, spans[k][0] : spans[k][1]].sum(axis=1) > share[k]
-                    keep.append((u[new], v[new]))
-                for u, v in keep:
-                    np.add.at(links, u, weight[v])
-                    np.add.at(links, v, weight[u])
-                    found_i.append(u)
-                    found_j.append(v)
+            for i, j in _pooled(near_pairs(np.ascontiguousarray(y[:, lo:hi]), left, right, share[block] + SLACK), VERIFY):
+                some = home[i] | home[j]
+                i, j = i[some], j[some]
+                ok = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+                i, j = i[ok], j[ok]
+                gap = (y[i] - y[j]) ** 2
+                new = np.ones(len(i), dtype=bool)
+                for k in range(block):  # a pair within an earlier block's share counts there
+                    new &= gap[:, spans[k][0] : spans[k][1]].sum(axis=1) > share[k]
+                i, j = i[new], j[new]
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                found_i.append(i)
+                found_j.append(j)
                 if sum(map(len, found_i)) > 2_000_000:  # keep what connects
                     least = _forest(n, np.concatenate(found_i), np.concatenate(found_j))
                     found_i, found_j = [np.flatnonzero(least != np.arange(n))], [least[least != np.arange(n)]]

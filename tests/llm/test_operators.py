@@ -512,3 +512,17 @@ def test_pipeline_stages(spark):
         elif name == "pack":
             assert after.length.sum() == sum(len(library_ids(x)) + 1 for x in before.text)
         now = out
+
+
+def test_near_pairs_halve_and_lose_nothing():
+    """Boxes only drop pairs beyond the limit: spread, dense and repeated rows, of one set and of two."""
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.normal(0, 0.12, (700, 8)), rng.normal(0.1, 0.01, (150, 8)), np.zeros((60, 8))])
+    close = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2) <= 0.02
+    every = np.arange(len(p))
+    got = [x for i, j in vectors.near_pairs(p, every, None, 0.02) for x in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1)))))
+    left, right = every[every % 3 == 0], every[every % 3 == 1]
+    got = [tuple(sorted(x)) for i, j in vectors.near_pairs(p, left, right, 0.02) for x in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) and len(got) == int(close[np.ix_(left, right)].sum())
+    assert not list(vectors.near_pairs(p, every[:0], right, 0.02)) and not list(vectors.near_pairs(p, every[:1], None, 0.02))
