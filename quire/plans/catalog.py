@@ -357,7 +357,8 @@ def geo_e6_reading_order(d):
 
 @operator
 def geo_u1_deferred(d):
-    return """select page, sub as kind, cast(row_number() over (order by case when sub <= 3 then 0 when sub <= 5 then 1 else 2 end, page, sub) as bigint) as place from (select distinct page, sub from v_fragment) x"""
+    """Ten pages are a document; its tables and notes stand behind all of its body text."""
+    return f"""select page, sub as kind, cast(row_number() over (partition by {d.div('page', '10')} order by case when sub <= 3 then 0 when sub <= 5 then 1 else 2 end, page, sub) as bigint) as place from (select distinct page, sub from v_fragment) x"""
 
 
 @operator
@@ -412,7 +413,7 @@ def jobs_k13_unique_names(d):
 
 @operator
 def jobs_e8_lru(d, size: int = 20_000):
-    return f"select user_id, last_used from (select user_id, max(ts) as last_used, row_number() over (order by max(ts) desc, user_id) as r from events group by user_id) x where r <= {size}"
+    return f"select user_id, max(ts) as last_used from events group by user_id order by max(ts) desc, user_id limit {size}"
 
 
 @operator
