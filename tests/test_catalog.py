@@ -100,12 +100,13 @@ def test_a19_splits_bullets_into_items(spark):
     assert list(got.itertuples(index=False, name=None)) == [*items, (2, 0, "heading", "Über alles"), (3, 0, "paragraph", "a line\nb line")]
 
 
-def test_ewma_matches_closed_form(spark, duck):
-    got = rows(kernel_queries.QUERIES["stream_r3_ewma"](spark, SF).toPandas())
-    assert got == rows(duck.sql(kernel_queries.ORACLES["stream_r3_ewma"]).df())
+@pytest.mark.parametrize("name", sorted(kernel_queries.ORACLES))
+def test_kernel_query_matches_its_own_sql(spark, duck, name):
+    got = rows(kernel_queries.QUERIES[name](spark, SF).toPandas())
+    assert got and got == rows(duck.sql(kernel_queries.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(kernel_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(kernel_queries.QUERIES) - set(kernel_queries.ORACLES)))
 def test_kernel_queries_run(spark, name):
     assert kernel_queries.QUERIES[name](spark, SF).count() > 0
 
