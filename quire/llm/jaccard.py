@@ -50,6 +50,8 @@ PART_SHINGLES = 500_000
 PART_DOCS = 250
 #: Documents of a region that is cut into Voronoi regions by a round of its own.
 SPLIT_DOCS = 400
+#: Parts of the cells for each task that they are dealt to.
+PARTS = 4
 #: Such a cut is taken back if the parts have more than this share of the region's pairs.
 PAYS = 0.7
 #: Documents that a leaf compares directly instead of through further pivots.
@@ -225,11 +227,16 @@ def _sign(width: int, num: int, den: int):
     return run
 
 
-def _sets(width: int):
+def _with_sets(width: int, kernel):
+    """``kernel`` over the shingle sets of rows that come with their texts, which take less room on the way."""
+
     def run(batches):
-        for batch in slices(batches, 500):
-            sets = list(shingle_sets(batch.column("text").to_pylist(), width))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "values"])
+        def read():
+            for batch in slices(batches, 500):
+                sets = shingle_sets(batch.column("text").to_pylist(), width)
+                yield batch.drop_columns(["text"]).append_column("values", pa.array([x.tobytes() for x in sets], pa.binary()))
+
+        yield from kernel(read())
 
     return run
 
@@ -327,20 +334,62 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _pack(parts: int):
+    """Rows (part, nodes, cells) of a batch: the cells in each of ``parts`` parts, and the node of each as its difference
+    from the one before, by byte planes, of which most are zeros."""
+
+    def run(batches):
+        for batch in slices(batches, 10_000):
+            held = batch.column("cells")
+            cell = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(cell):
+                continue
+            node = np.repeat(batch.column("node").to_numpy(), held.value_lengths().to_numpy())
+            part = (cell % np.uint64(parts)).astype(np.min_scalar_type(parts))
+            order = np.argsort(part, kind="stable")
+            part, node, cell = part[order], node[order], cell[order]
+            ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)).tolist()
+            starts = [0, *ends[:-1]]
+            steps = [np.diff(node[i:j], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for i, j in zip(starts, ends, strict=True)]
+            cells = [cell[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part[starts].astype(np.int64)), "nodes": pa.array(steps, pa.binary()), "cells": pa.array(cells, pa.binary())})
+
+    return run
+
+
+def _meet(batches):
+    """Rows (region, node) of each part, see ``_shared``."""
+    for _, table in runs(batches, ["part"]):
+        steps = [np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T for x in table.column("nodes").to_pylist()]
+        node = np.concatenate([np.cumsum(np.ascontiguousarray(x).view(np.int64)[:, 0]) for x in steps])
+        cell = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("cells").to_pylist()])
+        order = np.argsort(cell)
+        alike = cell[order][1:] == cell[order][:-1]
+        met = order[np.append(alike, False) | np.insert(alike, 0, False)]
+        met = met[np.lexsort((node[met], cell[met]))]
+        node, cell = node[met], cell[met]
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(first, len(cell)))
+        region = np.repeat(node[first], size)
+        two = np.repeat(node[first] < node[first + size - 1], size)
+        pairs = np.unique(np.stack((region[two], node[two]), axis=1), axis=0)
+        yield pa.RecordBatch.from_pydict({"region": pa.array(pairs[:, 0]), "node": pa.array(pairs[:, 1])})
+
+
 def _shared(cells: DataFrame) -> DataFrame:
-    """(region, node) of rows (node, cell): the least node of each cell that has two at least, and who lies in a cell
-    with it. The rows cross one shuffle, which both the minima and the join with them read."""
-    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
-    both = dealt.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("top")).where("region < top").select("cell", "region")
-    return dealt.join(both, "cell").select("region", "node").distinct()
+    """(region, node) of rows (node, cells): the least node of each cell that has two at least, and who lies in a cell
+    with it. Cells cross one shuffle, packed, as they are many times as many as the documents."""
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = cells.mapInArrow(_pack(PARTS * tasks), "part bigint, nodes binary, cells binary")
+    return packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_meet, "region bigint, node bigint").distinct()
 
 
 class _Regions:
-    """Sets of the candidates, and what is done with rows (region, node, n) of their regions."""
+    """Texts (node, text) of the candidates, and what is done with rows (region, node, n) of their regions."""
 
-    def __init__(self, sets: DataFrame, num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, texts: DataFrame, width: int, num: int, den: int):
+        self.texts, self.width, self.num, self.den = texts, width, num, den
+        self.tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def _chunks(self, members: DataFrame, docs: int, shingles: int) -> DataFrame:
         """The members with ``chunks``: tasks that their region is dealt to."""
@@ -350,8 +399,8 @@ class _Regions:
     def _run(self, routes: DataFrame, kernel, schema: str, name: str) -> DataFrame:
         """``kernel`` over the sets of rows (region, part, pivot, node), sorted by region and part."""
         routes = stored(routes.select("region", "part", "pivot", "node"), "routes")
-        sent = self.sets.join(_bounded(routes, routes.count()), "node")
-        return stored(sent.repartition(self.tasks, "region", "part").sortWithinPartitions("region", "part").mapInArrow(kernel, schema), name)
+        sent = self.texts.join(_bounded(routes, routes.count()), "node")
+        return stored(sent.repartition(self.tasks, "region", "part").sortWithinPartitions("region", "part").mapInArrow(_with_sets(self.width, kernel), schema), name)
 
     def _with_pivots(self, members: DataFrame, pivots: DataFrame) -> DataFrame:
         """Routes of members, each in one part of its region, and of the pivots to all its parts."""
@@ -434,7 +483,7 @@ def _join_regions(members: DataFrame, regions: _Regions, eps: float, log: list |
 def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tie, n_shingles, fp1, fp2), where tie is the hash of the text; and classes of equal sets
     (fp1, fp2, root, of): root is alike in linked classes, of is their least doc_id. A class is known in links by
-    fp1, so a doc_id may have several texts or be null."""
+    the number of its first row, so a doc_id may have several texts or be null."""
     eps = 1 - num / den
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     signed = stored(picked.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(width, num, den), _SIGNED), "signed")
@@ -444,9 +493,9 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
     reps = usable.groupBy("fp1", "fp2").agg(first, F.first("n_shingles").alias("n"), F.count("*").alias("times"))
     reps = stored(reps.select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.tie").alias("rep_tie"), F.col("r.row").alias("rep_row"), "n", "times"), "reps")
     copies = stored(usable.select("fp1", "fp2", "row").join(reps.where("times > 1"), ["fp1", "fp2"]).where("row <> rep_row").select("row"), "copies")
-    once = signed.where("n_shingles > 0").select("row", F.col("fp1").alias("node"), "cells").join(_bounded(copies, copies.count()), "row", "left_anti")
-    shared = _shared(once.select("node", F.explode("cells").alias("cell")))
-    sizes = reps.select(F.col("fp1").alias("node"), "n", "rep_id", "rep_tie", "rep_row")
+    once = signed.where("n_shingles > 0").select("row", "cells").join(_bounded(copies, copies.count()), "row", "left_anti")
+    shared = _shared(once.select(F.col("row").alias("node"), "cells"))
+    sizes = reps.select(F.col("rep_row").alias("node"), "n", "rep_id", "rep_tie")
     members = stored(shared.join(sizes.select("node", "n"), "node"), "members")
     discard(signed, copies)
     met = stored(members.select("node").distinct().join(sizes, "node").select("node", "rep_id", "rep_tie"), "met")
@@ -455,8 +504,8 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
     candidates = picked.join(_bounded(met, n_met), same(picked)).select("node", "text")
     if usable.select("doc_id", "tie").join(_bounded(met, n_met), same(usable)).count() > n_met:  # rows that repeat
         candidates = candidates.dropDuplicates(["node"])
-    sets = stored(candidates.mapInArrow(_sets(width), "node bigint, values binary"), "sets")
-    regions = _Regions(sets, num, den)
+    texts = stored(candidates, "texts")
+    regions = _Regions(texts, width, num, den)
     least = members.groupBy("node").agg(F.min("region").alias("region"), F.max("n").alias("n")).where("region <> node")
     measured = regions.measure(stored(least.select("region", "node", "n"), "least"))
     found = stored(components(measured.where("close").select(F.col("node").alias("a"), F.col("region").alias("b"))), "found")
@@ -468,10 +517,10 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, log: list | None =
         for more in _join_regions(left, regions, eps, log):
             every = every.unionByName(more)
         found = stored(components(every), "found")
-    discard(sets, members, met, measured, left)
-    linked = found.join(reps, found.node == reps.fp1)
+    discard(texts, members, met, measured, left)
+    linked = found.join(reps, found.node == reps.rep_row)
     named = linked.groupBy("component").agg(F.min("rep_id").alias("least")).join(found, "component").select("node", "component", "least")
-    classes = reps.join(named, reps.fp1 == named.node, "left").select("fp1", "fp2", F.coalesce("component", "fp1").alias("root"), F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least")).alias("of"))
+    classes = reps.join(named, reps.rep_row == named.node, "left").select("fp1", "fp2", F.coalesce("component", "rep_row").alias("root"), F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least")).alias("of"))
     return plain.select("doc_id", "tie", "n_shingles", "fp1", "fp2"), classes
 
 

@@ -169,6 +169,32 @@ def test_repeated_and_null_ids_are_judged_by_their_own_text(spark):
     assert Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, table, SF).collect()) == kept
 
 
+def test_cells_meet_as_in_a_plain_reading(spark):
+    """Nodes far apart and negative, with frequent cells, and documents without cells."""
+    rng = random.Random(21)
+    rows = [(rng.choice([-1, 1]) * rng.randrange(1 << rng.choice([8, 40, 62])), [rng.randrange(-(2**63), 2**63) if rng.random() < 0.9 else rng.randrange(40) for _ in range(rng.choice([0, 1, 300]))]) for _ in range(300)]
+    rows = list(dict(rows).items())
+    of = {}
+    for node, cells in rows:
+        for c in cells:
+            of.setdefault(c, set()).add(node)
+    table = spark.createDataFrame(rows, "node bigint, cells array<bigint>")
+    got = Counter(tuple(r) for r in jaccard._shared(table).collect())
+    assert got == Counter({(min(x), n) for x in of.values() if len(x) > 1 for n in x})
+    assert jaccard._shared(table.where("size(cells) = 0")).count() == 0
+
+
+def test_near_duplicates_shuffle_little(spark):
+    """Cells are many times as many as the documents, and a set is larger than its text."""
+    rng = random.Random(22)
+    texts = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(600))) for i in range(300)]
+    rows = texts + [(900 + i, t + " end") for i, t in texts[:150]]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80, 100).count() == 300
+    assert written() - before < 2 * sum(len(t) for _, t in rows)
+
+
 def test_voronoi_loses_no_link(monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
     sets = [np.unique(np.array([hash(s) & 0xFFFFFFFF for s in shingle_set(t, 2)], dtype=np.uint64)) for _, t in near_copies()]
