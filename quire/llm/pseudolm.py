@@ -34,6 +34,10 @@ REACH = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 2048, 0.08
 #: Sums of weights and logarithms count in units of 1 / UNIT, so that their order does not matter.
 UNIT = 1 << 26
+#: Logits within this have exponentials and sums of them that a float32 holds.
+SAFE = 80
+#: Bits of a hash by which a word finds its place in the vocabulary.
+SLOT_BITS = 16
 SHAPES = {"embed": (CLASSES + 1, WIDTH), "w": (len(REACH) * WIDTH, HIDDEN), "b": (HIDDEN,), "high": (HIDDEN, DIGITS), "high_b": (DIGITS,), "given": (DIGITS, HIDDEN), "low": (HIDDEN, DIGITS), "low_b": (DIGITS,)}
 
 
@@ -60,35 +64,47 @@ def unflatten(v: np.ndarray) -> dict[str, np.ndarray]:
 
 def _summed(row: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
     """An array like ``like``: the sum of the values of each row."""
-    at = row[:, None] * like.shape[1] + np.arange(like.shape[1])
-    return np.bincount(at.reshape(-1), weights=values.reshape(-1), minlength=like.size).reshape(like.shape).astype(like.dtype)
-
-
-def _around(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Classes around each position; beyond its document there is none."""
-    out = np.full((len(at), len(REACH)), NONE, dtype=np.int64)
-    for k, step in enumerate(REACH):
-        to = at + step
-        ok = (to >= 0) & (to < len(ids))
-        ok[ok] = doc[to[ok]] == doc[at[ok]]
-        out[ok, k] = ids[to[ok]]
-    return out
+    if len(like) <= DIGITS:
+        hot = np.zeros((len(row), len(like)), dtype=values.dtype)
+        hot[np.arange(len(row)), row] = 1
+        return hot.T @ values
+    return np.stack([np.bincount(row, weights=v, minlength=len(like)) for v in values.T], axis=1).astype(like.dtype)
+
+
+def _laid(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes with a gap of none around each document, place of each there); ``doc`` ascends."""
+    gap = max(REACH)
+    place = np.arange(len(ids)) + gap * (doc + 1)
+    laid = np.full(place[-1] + gap + 1 if len(ids) else 0, NONE, dtype=np.int64)
+    laid[place] = ids
+    return laid, place
+
+
+def _around(laid: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Classes around each place; beyond its document there is none."""
+    return laid.take(place[:, None] + np.array(REACH))
 
 
 def _hidden(p: dict, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e = p["embed"][context].reshape(len(context), -1)
+    e = p["embed"].take(context, axis=0).reshape(len(context), -1)
     h = e @ p["w"]
     h += p["b"]
     return e, np.tanh(h, out=h)
 
 
 def _exp(z: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(logits less their row's greatest, their exponentials), the first in the place of ``z``."""
+    """(logits, less their row's greatest where some are large; their exponentials), the first in the place of ``z``."""
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    if max(z.max(), -z.min()) > SAFE:
+        z -= z.max(axis=1, keepdims=True)
     return z, np.exp(z)
 
 
+def _total(up: np.ndarray) -> np.ndarray:
+    """The sum of each row, which the matrix product takes faster than a sum along short rows."""
+    return up @ np.ones(up.shape[1], dtype=up.dtype)
+
+
 def log_probability(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     out = np.empty(len(target))
     for s in range(0, len(target), BATCH):  # what one step holds stays in the cache
@@ -96,10 +112,10 @@ def log_probability(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndar
         _, h = _hidden(p, context[s : s + BATCH])
         hi, rows = part // DIGITS, np.arange(len(part))
         z, up = _exp(h @ p["high"], p["high_b"])
-        out[s : s + BATCH] = z[rows, hi] - np.log(up.sum(axis=1))
+        out[s : s + BATCH] = z[rows, hi] - np.log(_total(up))
         h += p["given"][hi]
         z, up = _exp(h @ p["low"], p["low_b"])
-        out[s : s + BATCH] += z[rows, part % DIGITS] - np.log(up.sum(axis=1))
+        out[s : s + BATCH] += z[rows, part % DIGITS] - np.log(_total(up))
     return out
 
 
@@ -119,7 +135,7 @@ class Trainer:
         wrong = []
         for z, bias, digit in ((h @ p["high"], p["high_b"], hi), (h2 @ p["low"], p["low_b"], target % DIGITS)):
             _, up = _exp(z, bias)
-            up *= (1 / (len(target) * up.sum(axis=1)))[:, None]
+            up *= (1 / (len(target) * _total(up)))[:, None]
             up[rows, digit] -= up.dtype.type(1 / len(target))
             wrong.append(up)
         dz1, dz2 = wrong
@@ -142,9 +158,15 @@ def classes_of(hashes: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray) ->
     """The class of each word; ``vocabulary`` is sorted and ``rank`` has each entry's class."""
     out = (OWN + mix(hashes) % np.uint64(CLASSES - OWN)).astype(np.int64)
     if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        hit = vocabulary[at] == hashes
+        last = np.uint64((1 << SLOT_BITS) - 1)
+        slots, first = np.unique(vocabulary & last, return_index=True)
+        entry = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        entry[slots] = first
+        at = entry.take((hashes & last).view(np.int64))
+        hit = np.flatnonzero(vocabulary.take(at) == hashes)
         out[hit] = rank[at[hit]]
+        for k in np.setdiff1d(np.arange(len(vocabulary)), first):  # the few whose slot another has
+            out[hashes == vocabulary[k]] = rank[k]
     return out
 
 
@@ -170,7 +192,8 @@ def _parameters(start: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, tur
                 at = np.flatnonzero((within + w.counts[doc]) % ROUNDS == turn)
                 if len(at):
                     at = at[np.argsort(mix(at.astype(np.uint64)))]
-                    held.append((_around(ids, doc, at), ids[at]))
+                    laid, place = _laid(ids, doc)
+                    held.append((_around(laid, place[at]), ids[at]))
                     tokens += len(at)
                 while sum(len(t) for _, t in held) >= BATCH:
                     context, target = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -252,10 +275,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 w = words(encoded, lower=True)
                 ids = classes_of(w.hash, vocabulary, rank)
                 doc = np.repeat(np.arange(len(encoded)), w.counts)
+                laid, place = _laid(ids, doc)
                 logs = np.zeros(len(ids))
                 for s in range(0, len(ids), 16384):
-                    at = np.arange(s, min(s + 16384, len(ids)))
-                    logs[at] = log_probability(p, _around(ids, doc, at), ids[at])
+                    logs[s : s + 16384] = log_probability(p, _around(laid, place[s : s + 16384]), ids[s : s + 16384])
                 shared = np.flatnonzero(ids >= OWN)
                 logs[shared] -= log_sizes[ids[shared]]
                 total = np.concatenate(([0.0], np.cumsum(logs)))

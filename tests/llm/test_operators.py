@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -503,6 +504,47 @@ def test_every_position_is_trained_on_once(monkeypatch):
     assert sorted(seen) == list(range(len(hashes)))
 
 
+def test_kernels_of_the_window_network_are_the_plain_reading():
+    rng = np.random.default_rng(4)
+    vocabulary, rank = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64)), rng.permutation(3000)
+    assert len(np.unique(vocabulary & np.uint64((1 << pseudolm.SLOT_BITS) - 1))) < 3000  # some slots are shared
+    hashes = rng.permutation(np.concatenate((vocabulary, rng.integers(0, 1 << 63, 4000).astype(np.uint64))))
+    own = dict(zip(vocabulary.tolist(), rank.tolist(), strict=True))
+    assert all(c == own[h] if h in own else c >= pseudolm.OWN for h, c in zip(hashes.tolist(), pseudolm.classes_of(hashes, vocabulary, rank).tolist(), strict=True))
+    doc = np.repeat(np.arange(200), rng.integers(0, 7, 200))
+    ids, at = rng.integers(0, pseudolm.CLASSES, len(doc)), rng.permutation(len(doc))
+    laid, place = pseudolm._laid(ids, doc)
+    plain = [[ids[i + k] if 0 <= i + k < len(ids) and doc[i + k] == doc[i] else pseudolm.NONE for k in pseudolm.REACH] for i in at]
+    assert pseudolm._around(laid, place[at]).tolist() == plain
+    for scale in (1, 1e4):  # the second beyond what exponentials hold
+        p = {k: v.astype(np.float64) * scale for k, v in pseudolm.initial().items()}
+        context, target = rng.integers(0, pseudolm.CLASSES + 1, (300, 4)), rng.integers(0, pseudolm.CLASSES, 300)
+        h = np.tanh(p["embed"][context].reshape(300, -1) @ p["w"] + p["b"])
+        want, hi, low = np.zeros(300), target // pseudolm.DIGITS, target % pseudolm.DIGITS
+        for state, at_, z in ((h, hi, "high"), (h + p["given"][hi], low, "low")):
+            logits = state @ p[z] + p[z + "_b"]
+            want += logits[np.arange(300), at_] - np.logaddexp.reduce(logits, axis=1)
+        got = pseudolm.log_probability({k: v.astype(np.float32) for k, v in p.items()}, context, target)
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-3 * scale)
+
+
+def test_words_find_their_class_faster_than_by_a_search():
+    rng = np.random.default_rng(5)
+    vocabulary = np.unique(rng.integers(0, 1 << 63, pseudolm.OWN).astype(np.uint64))
+    hashes = rng.integers(0, 1 << 63, 400_000).astype(np.uint64)
+    hashes[::2] = rng.choice(vocabulary, 200_000)
+
+    def least(call):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            call()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: pseudolm.classes_of(hashes, vocabulary, np.arange(len(vocabulary)))) < least(lambda: np.searchsorted(vocabulary, hashes))
+
+
 def test_gradients_of_the_window_network():
     p = {k: v.astype(np.float64) for k, v in pseudolm.initial().items()}
     rng = np.random.default_rng(1)
