@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.components import components
 from quire.llm.textvec import fingerprint, mix, shingle_sets
-from quire.llm.workspace import discard, ragged, runs, slices, stored
+from quire.llm.workspace import dealt, discard, planes, ragged, runs, slices, stored, unplanes
 
 #: Shingles and documents of a region, or of a chunk of one, that one task joins at once.
 REGION_SHINGLES = 2_000_000
@@ -346,11 +346,9 @@ def _pack(parts: int):
                 continue
             node = np.repeat(batch.column("node").to_numpy(), held.value_lengths().to_numpy())
             part = (cell % np.uint64(parts)).astype(np.min_scalar_type(parts))
-            order = np.argsort(part, kind="stable")
+            order, starts, ends = dealt(part)
             part, node, cell = part[order], node[order], cell[order]
-            ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)).tolist()
-            starts = [0, *ends[:-1]]
-            steps = [np.diff(node[i:j], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for i, j in zip(starts, ends, strict=True)]
+            steps = [planes(np.diff(node[i:j], prepend=0)) for i, j in zip(starts, ends, strict=True)]
             cells = [cell[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_pydict({"part": pa.array(part[starts].astype(np.int64)), "nodes": pa.array(steps, pa.binary()), "cells": pa.array(cells, pa.binary())})
 
@@ -360,8 +358,7 @@ def _pack(parts: int):
 def _meet(batches):
     """Rows (region, node) of each part, see ``_shared``."""
     for _, table in runs(batches, ["part"]):
-        steps = [np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T for x in table.column("nodes").to_pylist()]
-        node = np.concatenate([np.cumsum(np.ascontiguousarray(x).view(np.int64)[:, 0]) for x in steps])
+        node = np.concatenate([np.cumsum(unplanes(x)) for x in table.column("nodes").to_pylist()])
         cell = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("cells").to_pylist()])
         order = np.argsort(cell)
         alike = cell[order][1:] == cell[order][:-1]

@@ -7,7 +7,8 @@ Tokens are words: the 512 most frequent of the corpus have a class of their own,
 one of 512 classes. A class is a pair of two digits to base 32, predicted one after the other, so
 a token costs two softmaxes of 32. A word of a shared class costs log P(word | class) besides: with counts of
 the whole corpus, (count of word + 1) / (count of class + its distinct words + 1), where an unseen word has
-count 0. All words' counts are a table in the shared folder, joined to the distinct words of each document. Training is data parallel over
+count 0. All words' counts are a table in the shared folder; they and the distinct words of each document meet
+in parts by the word's hash, many to a row. Training is data parallel over
 all documents: in each of ``ROUNDS`` rounds every partition starts from the same weights, takes
 gradient steps on one position in ``ROUNDS`` of all its documents, and the weights are averaged by token numbers;
 no position is in two rounds and every position is in one.
@@ -21,10 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.textvec import blocks, mix, words
-from quire.llm.workspace import slices, stored
+from quire.llm.workspace import dealt, planes, runs, slices, stored, unplanes
 
 OWN, DIGITS = 512, 32
 CLASSES = DIGITS * DIGITS
@@ -38,6 +40,8 @@ UNIT = 1 << 26
 SAFE = 80
 #: Bits of a hash by which a word finds its place in the vocabulary.
 SLOT_BITS = 16
+#: Parts of the words for each task that they are dealt to, and words of documents that are dealt at once.
+PARTS, DEALT = 4, 1 << 20
 SHAPES = {"embed": (CLASSES + 1, WIDTH), "w": (len(REACH) * WIDTH, HIDDEN), "b": (HIDDEN,), "high": (HIDDEN, DIGITS), "high_b": (DIGITS,), "given": (DIGITS, HIDDEN), "low": (HIDDEN, DIGITS), "low_b": (DIGITS,)}
 
 
@@ -259,16 +263,116 @@ def _distinct(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[at], np.diff(np.append(at, len(order)))
 
 
+_MEETING = {"part": pa.int64(), "number": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "own": pa.float64(), "numbers": pa.binary(), "words": pa.binary(), "times": pa.binary()}
+_MEETING_DDL = "part bigint, number bigint, doc_id bigint, n_tokens bigint, own double, numbers binary, words binary, times binary"
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """Rows of ``_MEETING``, null in the columns that are not given."""
+    n = len(columns["part"])
+    given = {k: c if isinstance(c, pa.Array) else pa.array(c, _MEETING[k]) for k, c in columns.items()}
+    return pa.RecordBatch.from_pydict({k: given.get(k, pa.nulls(n, kind)) for k, kind in _MEETING.items()})
+
+
+def _by_part(part: np.ndarray, times: np.ndarray, word: np.ndarray | None = None, number: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each part of what is given: words, numbers of documents as differences, and a number for each."""
+    order, starts, ends = dealt(part.astype(np.min_scalar_type(int(part.max()))))
+
+    def cut(x: np.ndarray, to) -> list[bytes]:
+        x = x[order]
+        return [to(x[i:j]) for i, j in zip(starts, ends, strict=True)]
+
+    columns = {} if word is None else {"words": cut(word, np.ndarray.tobytes)}
+    if number is not None:
+        columns["numbers"] = cut(number, lambda x: planes(np.diff(x, prepend=0)))
+    return _rows(part=part[order][starts].astype(np.int64), times=cut(times, planes), **columns)
+
+
+def _words_by_part(parts: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    word, times, *number = (np.concatenate(x) for x in zip(*held, strict=True))
+    return _by_part(word % np.uint64(parts), times, word, *number)
+
+
+def _pack_counts(parts: int):
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column("word").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size >= DEALT:
+                yield _words_by_part(parts, held)
+                held, size = [], 0
+        if size:
+            yield _words_by_part(parts, held)
+
+    return run
+
+
+def _sums(parts: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The sum of each number's values, by parts of the numbers."""
+    number, inside = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(number, kind="stable")
+    number, inside = number[order], inside[order]
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    return _by_part(mix(number[first]) % np.uint64(parts), np.add.reduceat(inside, first), number=number[first])
+
+
+def _meet(parts: int):
+    """Documents' own rows as they are; and sums of the logarithms of their words' counts plus one, in units of 1 / UNIT."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for _, table in runs(batches, ["part"]):
+            packed = pc.is_valid(table.column("words"))
+            yield from table.filter(pc.invert(packed)).to_batches()
+            rows = [[r[k] for k in ("numbers", "words", "times")] for r in table.filter(packed).select(["numbers", "words", "times"]).to_pylist()]
+            known = [(np.frombuffer(w, dtype=np.uint64), unplanes(n)) for number, w, n in rows if number is None]
+            known.append((np.full(1, -1).view(np.uint64), np.zeros(1, dtype=np.int64)))  # no word found lies behind the last
+            word, n = (np.concatenate(x) for x in zip(*known, strict=True))
+            order = np.argsort(word, kind="stable")
+            word, logs = word[order], np.log(n[order] + 1.0)
+            for number, asked, times in rows:
+                if number is not None:
+                    asked = np.frombuffer(asked, dtype=np.uint64)
+                    at = np.searchsorted(word, asked)
+                    each = np.where(word[at] == asked, logs[at], 0.0)
+                    held.append((np.cumsum(unplanes(number)), np.rint(unplanes(times) * each * UNIT).astype(np.int64)))
+                    size += len(asked)
+                    if size >= DEALT:
+                        yield _sums(parts, held)
+                        held, size = [], 0
+        if size:
+            yield _sums(parts, held)
+
+    return run
+
+
+def _scores(batches):
+    """Each document's own part and the sums of its words."""
+    for _, table in runs(batches, ["part"]):
+        packed = pc.is_valid(table.column("numbers"))
+        docs = table.filter(pc.invert(packed)).sort_by("number")
+        number, inside = docs.column("number").to_numpy(), np.zeros(docs.num_rows, dtype=np.int64)
+        for row in table.filter(packed).select(["numbers", "times"]).to_pylist():
+            inside[np.searchsorted(number, np.cumsum(unplanes(row["numbers"])))] += unplanes(row["times"])  # a row's numbers differ
+        score = docs.column("own").to_numpy() + inside / float(UNIT)
+        yield from docs.select(["doc_id", "n_tokens"]).append_column("score", pa.array(score)).to_batches()
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, score, mean_score) of each document; score is its pseudo-log-likelihood."""
     *fixed, counts = model
     spread = docs.sparkSession.sparkContext.broadcast(tuple(fixed))  # the model's fixed size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * tasks
 
     def run(batches):
-        """A row of each document with its score but for its words' counts, then one of each distinct word in shared
-        classes. A document's row has its number's hash for a word, which no text needs, and weighs nothing."""
+        """A row of each document with its score but for its words' counts, and rows of many distinct words in shared
+        classes with the numbers of their documents."""
         flat, vocabulary, rank, sizes = spread.value
         p, log_sizes = unflatten(flat), np.log(sizes)
+        held, size = [], 0
         for batch in slices(batches, 1000):
             number, doc_id = batch.column("number"), batch.column("doc_id").cast(pa.int64())
             for first, encoded in blocks(batch.column("text").to_pylist()):
@@ -285,19 +389,24 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 own = number.slice(first, len(encoded)).to_numpy()
                 one, n = _distinct(doc[shared], w.hash[shared])
                 one = shared[one]
-                rest = len(one)
-                yield pa.RecordBatch.from_pydict({
-                    "number": pa.array(np.concatenate((own, own[doc[one]]))),
-                    "doc_id": pa.concat_arrays([doc_id.slice(first, len(encoded)), pa.nulls(rest, pa.int64())]),
-                    "n_tokens": pa.concat_arrays([pa.array(w.counts.astype(np.int64)), pa.nulls(rest, pa.int64())]),
-                    "part": pa.concat_arrays([pa.array(total[w.first[1:]] - total[w.first[:-1]]), pa.nulls(rest, pa.float64())]),
-                    "word": pa.array(np.concatenate((mix(own), w.hash[one])).view(np.int64)),
-                    "times": pa.array(np.concatenate((np.zeros(len(encoded), dtype=np.int64), n))),
-                })
+                yield _rows(
+                    part=(mix(own) % np.uint64(parts)).astype(np.int64),
+                    number=own,
+                    doc_id=doc_id.slice(first, len(encoded)),
+                    n_tokens=w.counts.astype(np.int64),
+                    own=total[w.first[1:]] - total[w.first[:-1]],
+                )
+                held.append((w.hash[one], n, own[doc[one]]))
+                size += len(one)
+                if size >= DEALT:
+                    yield _words_by_part(parts, held)
+                    held, size = [], 0
+        if size:
+            yield _words_by_part(parts, held)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text")
-    parts = numbered.mapInArrow(run, "number bigint, doc_id bigint, n_tokens bigint, part double, word bigint, times bigint")
-    inside = F.round(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + F.lit(1.0)) * F.lit(float(UNIT))).cast("bigint")  # sums alike in any order
-    scored = parts.join(counts, "word", "left").groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("part") + F.sum(inside) / F.lit(float(UNIT))).alias("score"))
+    rows = counts.mapInArrow(_pack_counts(parts), _MEETING_DDL).unionByName(numbered.mapInArrow(run, _MEETING_DDL))
+    by_part = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part")
+    scored = by_part(by_part(rows).mapInArrow(_meet(parts), _MEETING_DDL)).mapInArrow(_scores, "doc_id bigint, n_tokens bigint, score double")
     mean = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "score", mean.alias("mean_score"))

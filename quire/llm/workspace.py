@@ -83,6 +83,23 @@ def ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers by byte planes; those of small ones are mostly zeros, which compress well."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
+
+
+def dealt(part: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """(order by part, start of each part there, its end)."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)).tolist()
+    return order, [0, *ends[:-1]], ends
+
+
 def slices(batches, rows: int, limit: int = SLICE_BYTES):
     """Record batches of at most ``rows`` rows and ``limit`` bytes, a longer row alone. At
     the end of the input the worker gives free memory back."""

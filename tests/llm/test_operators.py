@@ -490,6 +490,31 @@ def test_words_of_a_shared_class_score_by_their_own_counts(spark):
     assert twice.n_tokens.to_dict() == {1: 2, 2: 4} and twice.score[2] < twice.score[1]
 
 
+def test_words_meet_their_counts_in_few_bytes(spark):
+    """Where counts are too many to broadcast, less than the text crosses the shuffle; scores are the sums of what each word costs."""
+    rng = random.Random(23)
+    texts = [(i, " ".join(f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(400))) for i in range(400)]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = pseudolm.train(table)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.score for r in pseudolm.score_documents(table, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert written() - before < 0.9 * sum(len(t) for _, t in texts), (written() - before) / sum(len(t) for _, t in texts)
+    flat, vocabulary, rank, sizes, _ = model
+    times, p = Counter(w for _, t in texts for w in t.split()), pseudolm.unflatten(flat)
+    for i, t in texts[::40]:
+        ids = pseudolm.classes_of(pseudolm.words([t.encode()], lower=True).hash, vocabulary, rank)
+        laid, place = pseudolm._laid(ids, np.zeros(len(ids), dtype=np.int64))
+        logs = pseudolm.log_probability(p, pseudolm._around(laid, place), ids)
+        inside = [math.log((times[w] + 1) / sizes[c]) if c >= pseudolm.OWN else 0 for w, c in zip(t.split(), ids.tolist(), strict=True)]
+        assert math.isclose(got[i], logs.sum() + sum(inside), rel_tol=1e-6)
+
+
 def test_every_position_is_trained_on_once(monkeypatch):
     """Also those of documents of one to four words."""
     seen = []
